@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dirs: dict[str, str] = {}
 
 
@@ -53,9 +53,17 @@ class Tables:
         self.paths: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back, with its lineage cut."""
+        """Write ``df`` and return it as read back, with its lineage cut.
+
+        The shuffle files of the write are deleted once it is done.
+        """
         path = scratch_path(self.spark, name)
-        df.write.parquet(path)
+        was = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, was)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

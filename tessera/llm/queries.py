@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash
+from tessera.llm import minhash, recompression
 from tessera.llm.common import table
 
 
+def op9_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompression.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 QUERIES = {
+    "op9_recompression_substring_dedup": op9_recompression_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE: dict[str, str] = {}
