@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import knn, minhash, recompression
+from tessera.llm import html, knn, minhash, recompression
 from tessera.llm.common import table
 
 
+def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_block_join_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -24,6 +29,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_html_consensus_paths": op3_html_consensus_paths,
     "op7_block_join_knn": op7_block_join_knn,
     "op9_recompression_substring_dedup": op9_recompression_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
