@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html, knn, minhash, recompression
+from tessera.llm import html, knn, minhash, recompression, spm, warc
 from tessera.llm.common import table
 
 
@@ -14,11 +14,23 @@ def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(table(spark, sf_dir, "documents"), spm.model_bytes(spark, f"file://{TOKENIZER}"))
+
+
 def op7_block_join_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive, captures = warc.write_archive(table(spark, sf_dir, "pages"))
+    return archive.read(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = recompression.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -30,7 +42,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_html_consensus_paths": op3_html_consensus_paths,
+    "op6_sentencepiece_suffix_array": op6_sentencepiece_suffix_array,
     "op7_block_join_knn": op7_block_join_knn,
+    "op8_warc_capture_index": op8_warc_capture_index,
     "op9_recompression_substring_dedup": op9_recompression_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
