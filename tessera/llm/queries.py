@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html, knn, minhash, recompression, spm, warc
+from tessera.llm import decontaminate, html, knn, minhash, recompression, spm, warc
 from tessera.llm.common import table
 
 
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html.main_text(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -41,6 +45,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op3_html_consensus_paths": op3_html_consensus_paths,
     "op6_sentencepiece_suffix_array": op6_sentencepiece_suffix_array,
     "op7_block_join_knn": op7_block_join_knn,
