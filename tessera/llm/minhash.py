@@ -6,9 +6,10 @@ bit of every minimum (a 128-bit signature), then the whole shingle sets. The lin
 that hold are merged by alternating large-star and small-star.
 
 Large groups stay linear. Equal sets are one node from the start. Each bucket
-then links its members to one of them (round 0: the least, round 1: a random
-one), and only buckets that still span several components compare members of
-different components, by a join that Spark can split.
+then links its members to its centre, the member that stands in the largest
+buckets. Only buckets that still span several components compare members of
+different components; large ones only those that the size of their intersections
+with the centre, or a shared shingle beyond it, lets be similar (see _remaining).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tessera.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+SMALL = 32  # members of a bucket whose pairs are all compared
 SKETCH_MOST = 34  # of 128 bits; two sets at similarity 0.8 differ in 13 +- 3.4
 
 
@@ -116,15 +118,19 @@ def _shingle_sets(words: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, tables: Tables, name: str) -> DataFrame:
-    """The pairs (u, v) whose whole shingle sets are similar enough."""
-    pairs = tables.write(pairs.distinct(), f"{name}-pairs")
+def _with_sets(pairs: DataFrame, texts: DataFrame, words: int, tables: Tables, name: str) -> DataFrame:
+    """``pairs`` (u, v, ...) with the whole shingle sets su and sv and the size of their intersection."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     sets = tables.write(texts.join(ids, "id", "left_semi").mapInArrow(_shingle_sets(words), "id bigint, shingles array<bigint>"), f"{name}-sets")
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
-    common = F.size(F.array_intersect("su", "sv")).cast("long")
-    links = pairs.join(left, "u").join(right, "v").where(common * 100 >= (F.size("su") + F.size("sv") - common) * percent)
-    out = tables.write(links.select("u", "v"), f"{name}-links")
+    return pairs.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("su", "sv")).cast("long"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, tables: Tables, name: str) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets are similar enough."""
+    pairs = tables.write(pairs.distinct(), f"{name}-pairs")
+    both = _with_sets(pairs, texts, words, tables, name)
+    out = tables.write(both.where(F.col("common") * 100 >= (F.size("su") + F.size("sv") - F.col("common")) * percent).select("u", "v"), f"{name}-links")
     tables.drop(f"{name}-pairs", f"{name}-sets")
     return out
 
@@ -149,26 +155,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = tables.write(known.groupBy("d0", "d1").agg(F.min("id").alias("rep")), "classes")
     reps = known.join(classes.withColumnRenamed("rep", "id"), ["d0", "d1", "id"], "left_semi").where("n > 1")
     banded = reps.select("id", "n", "s0", "s1", F.posexplode("bands").alias("band", "key"))
-    hits = banded.groupBy("band", "key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    hits = tables.write(hits.where("least < most").drop("most"), "buckets")
-    members = tables.write(banded.join(hits, ["band", "key"]), "members")
-    links = tables.write(spark.createDataFrame([], "u bigint, v bigint"), "links")
-    component = spark.createDataFrame([], "node bigint, component bigint")
-    for k in range(3):
-        if k == 0:
-            pairs = members.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-        else:
-            members = tables.write(_spread(members, component), f"members{k}")
-            centres = members.groupBy("band", "key").agg(F.max_by(F.struct("id", "n", "s0", "s1", "component"), F.xxhash64("id", "band")).alias("c")).select("band", "key", "c.*")
-            if members.isEmpty():
-                break
-            pairs = _across(members, tables.write(centres, "centres"), percent) if k == 1 else _across(members, members, percent, "a.id < b.id")
-        found = _verified(pairs, texts, words, percent, tables, f"round{k}")
-        if found.isEmpty():
-            continue
-        links = tables.write(links.union(found), f"links{k}")
-        component = tables.write(connected_components(links, tables), f"components{k}")
-    tables.drop("members", "members1", "members2", "buckets", "centres", "links", "links0", "links1", "links2", "round0-links", "round1-links", "round2-links")
+    buckets = tables.write(banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    members = tables.write(banded.join(buckets, ["band", "key"]), "members")
+    centred = tables.write(_centred(members, tables), "centred")
+
+    star = centred.where(f"id <> c.id and {_alike('c', percent)}").select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v"))
+    links = _verified(star, texts, words, percent, tables, "star")
+    component = tables.write(connected_components(links, tables), "components0")
+    left = tables.write(_spread(centred, component, percent), "left")
+    tables.drop("members", "buckets", "centred")
+    if not left.isEmpty():
+        links = tables.write(links.union(_verified(_remaining(left, texts, words, percent, tables), texts, words, percent, tables, "rest")), "links")
+        component = tables.write(connected_components(links, tables), "components")
+    tables.drop("left", "grouped", "grouped-sets", "star-links", "rest-links", "links")
 
     named = classes.join(component, classes["rep"] == component["node"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("root"))
     out = sigs.select("id", "n", "d0", "d1").join(tables.write(named, "named"), ["d0", "d1"], "left")
@@ -176,16 +175,53 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
 
 
-def _spread(members: DataFrame, component: DataFrame) -> DataFrame:
+def _alike(other: str, percent: int, own: str = "") -> str:
+    """Condition: sizes and 128-bit signatures allow a link."""
+    a = f"{own}." if own else ""
+    return f"bit_count({a}s0 ^ {other}.s0) + bit_count({a}s1 ^ {other}.s1) <= {SKETCH_MOST} and 100 * least({a}n, {other}.n) >= {percent} * greatest({a}n, {other}.n)"
+
+
+def _centred(members: DataFrame, tables: Tables) -> DataFrame:
+    """Members with their bucket's centre c: the one that stands in the largest buckets, so has least of its own."""
+    weights = tables.write(members.groupBy("id").agg(F.sum("members").alias("weight")), "weights")
+    weighed = members.join(weights, "id")
+    centres = weighed.groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "s0", "s1")).alias("m"))
+    centres = centres.select("band", "key", F.struct((-F.col("m.minus")).alias("id"), "m.n", "m.s0", "m.s1").alias("c"))
+    return members.join(tables.write(centres, "centres"), ["band", "key"])
+
+
+def _spread(members: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """Members of buckets that hold more than one component."""
-    bare = members.select("band", "key", "id", "n", "s0", "s1")
-    known = bare.join(component, bare["id"] == component["node"], "left").drop("node").withColumn("component", F.coalesce("component", "id"))
+    known = members.join(component, members["id"] == component["node"], "left").drop("node").withColumn("component", F.coalesce("component", "id"))
     many = known.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band", "key")
     return known.join(many, ["band", "key"], "left_semi")
 
 
-def _across(a: DataFrame, b: DataFrame, percent: int, more: str = "true") -> DataFrame:
-    """Pairs of members of one bucket in different components whose sizes and signatures allow a link."""
-    differ = "bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1)"
-    on = f"a.band = b.band and a.key = b.key and a.component <> b.component and {more} and {differ} <= {SKETCH_MOST} and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    return a.alias("a").join(b.alias("b"), F.expr(on)).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
+def _remaining(left: DataFrame, texts: DataFrame, words: int, percent: int, tables: Tables) -> DataFrame:
+    """Pairs (u, v) that share a bucket and may be linked, though neither path through a centre has linked them.
+
+    In buckets of up to SMALL members these are the pairs of different components whose
+    signatures agree. In larger ones all members are held against the centre c first: x is the
+    size of what a member shares with it, its extras are what it doesn't. A link between r and m
+    needs 4/9 (n_r + n_m) common shingles (at 80 percent), so it either fits into
+    min(x_r, x_m), for which both need x >= 0.8 n, or r and m share an extra. The
+    latter are joined by the first extras in order of hash, as many as a link may
+    leave out. So a large group of copies, or of texts around one passage, never meets in all pairs.
+    """
+    pair = (F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
+    differ = f"a.id < b.id and a.component <> b.component and {_alike('b', percent, 'a')}"
+    plain = left.select("band", "key", "members", "id", "n", "s0", "s1", "component")
+    small = plain.where(f"members <= {SMALL}")
+    near = small.alias("a").join(small.alias("b"), F.expr(f"a.band = b.band and a.key = b.key and {differ}")).select(*pair)
+
+    groups = left.where(f"members > {SMALL}").select(F.col("id").alias("u"), F.col("c.id").alias("v"), "n", "s0", "s1", "component").distinct()
+    both = _with_sets(groups, texts, words, tables, "grouped")
+    most = f"int(n * {100 - percent} div 100) + 1"
+    extras = F.expr(f"slice(sort_array(array_except(su, sv)), 1, {most})")
+    groups = tables.write(both.select(F.col("v").alias("centre"), F.col("u").alias("id"), "n", "s0", "s1", "component", F.col("common").alias("x"), extras.alias("extras")), "grouped")
+    within = groups.drop("extras").where(f"100 * x >= {percent} * n")
+    fits = f"{100 + percent} * least(a.x, b.x) >= {percent} * (a.n + b.n)"
+    inside = within.alias("a").join(within.alias("b"), F.expr(f"a.centre = b.centre and {fits} and {differ}")).select(*pair)
+    beyond = groups.select("centre", "id", "n", "s0", "s1", "component", F.explode("extras").alias("extra"))
+    shared = beyond.alias("a").join(beyond.alias("b"), F.expr(f"a.centre = b.centre and a.extra = b.extra and {differ}")).select(*pair)
+    return near.union(inside).union(shared)
