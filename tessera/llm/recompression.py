@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tables, WordHashes, as_id, list_array, mix, odd_constants, slices
+from tessera.llm.common import Tables, WordHashes, as_id, mix, odd_constants, slices
 
 ROUNDS = 6
 RUN_ROUNDS = (0,)
@@ -75,8 +75,8 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
 class Chunk:
     """The words of some documents, one after another."""
 
-    def __init__(self, texts: list[str | None], cache: WordHashes, window: int):
-        self.words = [ascii for t in texts for ascii in ((t or "").encode().split(),)]
+    def __init__(self, packed: bytes, lengths: bytes, cache: WordHashes, window: int):
+        self.words = unpack(packed, lengths)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.window = window
         self.hashes = cache.of([w for doc in self.words for w in doc])
@@ -111,18 +111,27 @@ class Chunk:
         return out[0], out[1]
 
 
+def unpack(packed: bytes, lengths: bytes) -> list[list[bytes]]:
+    """The words of each text of a packed chunk."""
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    ends = np.cumsum(np.frombuffer(lengths, np.int64)).tolist()
+    return [data[i:j].split() for i, j in zip([0, *ends], ends, strict=False)]
+
+
 def _make_chunks():
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("n_bytes", pa.int64())])
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("packed", pa.binary()), ("lengths", pa.binary()), ("n_bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         k = TaskContext.get().partitionId() << 32
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text"):
-            ids, texts = batch.column("id"), batch.column("text")
-            one = pa.array([0, batch.num_rows], pa.int32())
-            ids, texts = pa.concat_arrays([ids]), pa.concat_arrays([texts])
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, texts), pa.array([texts.nbytes])], schema=schema)
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            data = b"".join(texts)
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.concat_arrays([batch.column("id")]))
+            lengths = np.array([len(t) for t in texts], np.int64).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k]), ids, pa.array([pack.compress(data)], pa.binary()), pa.array([lengths], pa.binary()), pa.array([len(data)])], schema=schema)
             k += 1
 
     return run
@@ -183,7 +192,7 @@ def _ask_symbols(window: int, buckets: int):
         cache = WordHashes()
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk = Chunk(batch.column("texts")[i].as_py(), cache, window)
+                chunk = Chunk(batch.column("packed")[i].as_py(), batch.column("lengths")[i].as_py(), cache, window)
                 asked = Asked(chunk.symbols()[0], None, buckets)
                 yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), pa.array([asked.blocks()], _block_type())], schema=schema)
 
@@ -197,7 +206,7 @@ def _ask_windows(window: int, buckets: int, then: int):
         cache = WordHashes()
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk = Chunk(batch.column("texts")[i].as_py(), cache, window)
+                chunk = Chunk(batch.column("packed")[i].as_py(), batch.column("lengths")[i].as_py(), cache, window)
                 names, first, last = chunk.symbols()
                 shared = Asked(names, None, buckets).shared(batch.column("answers")[i].as_py())
                 starts = chunk.candidates(names, first, last, shared)
@@ -237,7 +246,7 @@ def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words = [(t or "").encode().split() for t in batch.column("texts")[i].as_py()]
+                words = unpack(batch.column("packed")[i].as_py(), batch.column("lengths")[i].as_py())
                 sizes = np.array([len(w) for w in words], np.int64)
                 starts, inverse = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in ("starts", "inverse"))
                 blocks, answers = batch.column("sizes")[i].as_py(), {a["bucket"]: a["bits"] for a in batch.column("answers")[i].as_py() or []}
@@ -270,7 +279,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     is null or shorter than a window keeps its words; rows without doc_id or with
     a repeated one are documents like others. Other columns are not read.
 
-    Documents travel in chunks of about 1 MB. A chunk asks for its distinct keys (first
+    Documents travel in packed chunks of about 1 MB of text. A chunk asks for its distinct keys (first
     symbols, then windows) in blocks, one for each range of keys, and gets
     bits back; a key that a third of the corpus shares is asked for once
     a chunk, so no task receives a group that grows with a key's frequency in rows.
@@ -278,11 +287,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     tables = Tables(spark)
     texts = docs.select(as_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    chunks = tables.write(texts.mapInArrow(_make_chunks(), "chunk bigint, ids array<bigint>, texts array<string>, n_bytes bigint"), "chunks")
+    chunks = tables.write(texts.mapInArrow(_make_chunks(), "chunk bigint, ids array<bigint>, packed binary, lengths binary, n_bytes bigint"), "chunks")
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, size // (24 << 20) + 1)
-    bare = chunks.select("chunk", "texts")
+    bare = chunks.select("chunk", "packed", "lengths")
     asks = tables.write(bare.mapInArrow(_ask_symbols(window, buckets), ASK), "symbols")
     answers = tables.write(_answers(asks), "symbol-bits")
     tables.drop("symbols")
@@ -291,5 +300,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     answers = tables.write(_answers(asks), "window-bits")
     tables.drop("symbol-bits")
     places = asks.select("chunk", "starts", "inverse", "twice", F.expr("transform(blocks, b -> struct(b.bucket, octet_length(b.k0) div 8 as n))").alias("sizes"))
-    known = chunks.select("chunk", "ids", "texts").join(places, "chunk").join(answers, "chunk", "left")
+    known = chunks.select("chunk", "ids", "packed", "lengths").join(places, "chunk").join(answers, "chunk", "left")
     return known.mapInArrow(_remove(window), "doc_id bigint, n_words bigint, n_removed bigint, text string")
