@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html, knn, minhash, recompression, spm, warc
+from tessera.llm import decontaminate, html, knn, linededup, minhash, recompression, spm, warc
 from tessera.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.remove_common_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html.main_text(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -46,6 +51,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
+    "op2_patience_line_dedup": op2_patience_line_dedup,
     "op3_html_consensus_paths": op3_html_consensus_paths,
     "op6_sentencepiece_suffix_array": op6_sentencepiece_suffix_array,
     "op7_block_join_knn": op7_block_join_knn,
