@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html, knn, linededup, minhash, recompression, spm, warc
+from tessera.llm import chat, decontaminate, html, knn, linededup, minhash, recompression, spm, warc
 from tessera.llm.common import table
 
 
@@ -23,6 +23,12 @@ def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat(m["start"], F.lit("-"), m["end"])), " ")
+    return out.withColumn("mask", mask)
+
+
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -53,6 +59,7 @@ QUERIES = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op2_patience_line_dedup": op2_patience_line_dedup,
     "op3_html_consensus_paths": op3_html_consensus_paths,
+    "op4_perspective_rotation": op4_perspective_rotation,
     "op6_sentencepiece_suffix_array": op6_sentencepiece_suffix_array,
     "op7_block_join_knn": op7_block_join_knn,
     "op8_warc_capture_index": op8_warc_capture_index,
@@ -60,6 +67,28 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE: dict[str, str] = {
+    "op4_perspective_rotation": """
+        WITH t AS (
+            SELECT conv_id, turn, replace(regexp_replace(role, '[\\r\\n]+', ' ', 'g'), '<|', '< |') AS speaker,
+                   replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(floor(turn / 256)::bigint, -1) AS block
+            FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL),
+        p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        r AS (
+            SELECT t.*, p.perspective, speaker = perspective AS own,
+                   '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
+                                          ELSE 'user name=' || speaker END || chr(10) AS head,
+                   t.text || '<|im_end|>' || chr(10) AS body
+            FROM t JOIN p USING (conv_id)),
+        o AS (
+            SELECT *, sum(length(head) + length(body)) OVER (
+                          PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, speaker, text
+                          ROWS UNBOUNDED PRECEDING) AS stop,
+                   row_number() OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, speaker, text) AS k
+            FROM r)
+        SELECT conv_id, perspective, dense_rank() OVER (PARTITION BY conv_id, perspective ORDER BY block) - 1 AS part,
+               count(*) AS n_turns, count(*) FILTER (own) AS n_assistant, string_agg(head || body, '' ORDER BY k) AS text,
+               coalesce(string_agg(CASE WHEN own THEN (stop - length(body))::varchar || '-' || stop::varchar END, ' ' ORDER BY k), '') AS mask
+        FROM o GROUP BY conv_id, perspective, block""",
     "op7_block_join_knn": """
         WITH v AS (
             SELECT vec_id, embedding::double[] AS e FROM embeddings
