@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash
+from tessera.llm import classifier, decontaminate, linededup, minhash, spm
 from tessera.llm.common import Tables, table
+from tessera.llm.queries import TOKENIZER, quality_model
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return classifier.select(docs, quality_model(spark, docs, sf_dir))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Common blocks of lines go from later documents, and documents of which nothing is left."""
+    out = linededup.without_common_lines(docs)
+    left = out.where("__n_deleted = 0 or __n_deleted < __n_lines")
+    return left.withColumn("n_chars", F.when(F.col("__n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of near duplicates stays, that with the least doc_id."""
+    copies = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs go."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return spm.encode(docs, spm.model_bytes(spark, f"file://{TOKENIZER}"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written and read again."""
     tables, docs = Tables(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = tables.write(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import Tables, as_id, slices
 
@@ -110,20 +111,23 @@ def _aligned(least: int) -> object:
     return run
 
 
-def _deleted() -> object:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_deleted", pa.int64()), ("text", pa.string())])
+def _deleted(text_col: str) -> object:
+    """Delete lines from the column ``text_col``, and count; the other columns pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, text_col, 4 << 20):
             counts, cut, texts = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
                 full = [k for k, x in enumerate(lines) if x.strip()]
                 drop = {full[k] for k in gone or []}
                 counts.append(len(full))
                 cut.append(len(drop))
                 texts.append(text if not drop else "\n".join(x for k, x in enumerate(lines) if k not in drop))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(cut, pa.int64()), pa.array(texts, pa.string())], schema=schema)
+            new = {text_col: pa.array(texts, pa.string()), "__n_lines": pa.array(counts, pa.int64()), "__n_deleted": pa.array(cut, pa.int64())}
+            names = [n for n in batch.schema.names if n != "__gone"]
+            names += [n for n in new if n not in names]
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
 
     return run
 
@@ -156,6 +160,12 @@ def remove_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     doc_id are left alone. Rows that repeat a doc_id are never aligned with each other;
     with the same text they share what is deleted. Other columns are not read.
     """
+    both = docs.select(as_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return without_common_lines(both, least_chars=least_chars).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), "text")
+
+
+def without_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40) -> DataFrame:
+    """As remove_common_lines, but with all columns of ``docs`` and then __n_lines and __n_deleted."""
     tables = Tables(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(as_id(docs, id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -165,7 +175,9 @@ def remove_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     earlier = lines.select(F.col("id").alias("pid"), F.col("h").alias("ph"), F.col("lines").alias("earlier"))
     both = pairs.join(lines, ["id", "h"]).join(earlier, ["pid", "ph"]).select("id", "h", "lines", "sizes", "earlier")
     gone = both.mapInArrow(_aligned(least_chars), "id bigint, h bigint, gone array<int>").where("size(gone) > 0")
-    gone = gone.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
-    gone = tables.write(gone, "deleted")
+    gone = gone.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("__gone"))
+    gone = tables.write(gone.withColumnsRenamed({"id": "__id", "h": "__h"}), "deleted")
     tables.drop("lines", "pairs", "line-ends")
-    return own.join(gone, ["id", "h"], "left").select("id", "text", "gone").mapInArrow(_deleted(), "doc_id bigint, n_lines bigint, n_deleted bigint, text string")
+    keyed = docs.withColumns({"__id": as_id(docs, id_col), "__h": F.xxhash64(text)})
+    schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_deleted", LongType())])
+    return keyed.join(gone, ["__id", "__h"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__gone").mapInArrow(_deleted(text_col), schema)

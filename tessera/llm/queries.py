@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html, knn, linededup, minhash, recompression, spm, warc
+from tessera.llm import chat, classifier, decontaminate, html, knn, linededup, minhash, recompression, spm, warc
 from tessera.llm.common import table
 
 
@@ -29,6 +29,17 @@ def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", mask)
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifier.Model:
+    labels = table(spark, sf_dir, "labels")
+    return classifier.train(docs, labels.select("doc_id", classifier.grade(F.col("quality"), F.col("toxic")).alias("grade")))
+
+
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = classifier.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.withColumn("accepted", F.col("tail") >= classifier.ACCEPT)
+
+
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -60,6 +71,7 @@ QUERIES = {
     "op2_patience_line_dedup": op2_patience_line_dedup,
     "op3_html_consensus_paths": op3_html_consensus_paths,
     "op4_perspective_rotation": op4_perspective_rotation,
+    "op5_ordinal_quality": op5_ordinal_quality,
     "op6_sentencepiece_suffix_array": op6_sentencepiece_suffix_array,
     "op7_block_join_knn": op7_block_join_knn,
     "op8_warc_capture_index": op8_warc_capture_index,
