@@ -27,7 +27,7 @@ from tessera.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-SMALL = 32  # members of a bucket whose pairs are all compared
+SMALL = 96  # members of a bucket whose pairs are all compared
 SKETCH_MOST = 34  # of 128 bits; two sets at similarity 0.8 differ in 13 +- 3.4
 
 
@@ -118,21 +118,22 @@ def _shingle_sets(words: int):
     return run
 
 
-def _with_sets(pairs: DataFrame, texts: DataFrame, words: int, tables: Tables, name: str) -> DataFrame:
+def _member_sets(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of all documents that share a bucket, by the same kind of join at every size."""
+    ids = members.select("id").distinct()
+    return texts.hint("merge").join(ids, "id", "left_semi").mapInArrow(_shingle_sets(words), "id bigint, shingles array<bigint>")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (u, v, ...) with the whole shingle sets su and sv and the size of their intersection."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = tables.write(texts.join(ids, "id", "left_semi").mapInArrow(_shingle_sets(words), "id bigint, shingles array<bigint>"), f"{name}-sets")
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
     return pairs.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("su", "sv")).cast("long"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, tables: Tables, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole shingle sets are similar enough."""
-    pairs = tables.write(pairs.distinct(), f"{name}-pairs")
-    both = _with_sets(pairs, texts, words, tables, name)
-    out = tables.write(both.where(F.col("common") * 100 >= (F.size("su") + F.size("sv") - F.col("common")) * percent).select("u", "v"), f"{name}-links")
-    tables.drop(f"{name}-pairs", f"{name}-sets")
-    return out
+    both = _with_sets(pairs.distinct(), sets)
+    return both.where(F.col("common") * 100 >= (F.size("su") + F.size("sv") - F.col("common")) * percent).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -158,16 +159,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = tables.write(banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     members = tables.write(banded.join(buckets, ["band", "key"]), "members")
     centred = tables.write(_centred(members, tables), "centred")
+    sets = tables.write(_member_sets(members, texts, words), "sets")
 
     star = centred.where(f"id <> c.id and {_alike('c', percent)}").select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v"))
-    links = _verified(star, texts, words, percent, tables, "star")
+    links = tables.write(_verified(star, sets, percent), "star")
     component = tables.write(connected_components(links, tables), "components0")
     left = tables.write(_spread(centred, component, percent), "left")
     tables.drop("members", "buckets", "centred")
     if not left.isEmpty():
-        links = tables.write(links.union(_verified(_remaining(left, texts, words, percent, tables), texts, words, percent, tables, "rest")), "links")
+        links = tables.write(links.union(_verified(_remaining(left, sets, percent, tables), sets, percent)), "links")
         component = tables.write(connected_components(links, tables), "components")
-    tables.drop("left", "grouped", "grouped-sets", "star-links", "rest-links", "links")
+    tables.drop("left", "grouped", "sets", "star", "links", "weights", "centres")
 
     named = classes.join(component, classes["rep"] == component["node"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("root"))
     out = sigs.select("id", "n", "d0", "d1").join(tables.write(named, "named"), ["d0", "d1"], "left")
@@ -197,7 +199,7 @@ def _spread(members: DataFrame, component: DataFrame, percent: int) -> DataFrame
     return known.join(many, ["band", "key"], "left_semi")
 
 
-def _remaining(left: DataFrame, texts: DataFrame, words: int, percent: int, tables: Tables) -> DataFrame:
+def _remaining(left: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Pairs (u, v) that share a bucket and may be linked, though neither path through a centre has linked them.
 
     In buckets of up to SMALL members these are the pairs of different components whose
@@ -215,7 +217,7 @@ def _remaining(left: DataFrame, texts: DataFrame, words: int, percent: int, tabl
     near = small.alias("a").join(small.alias("b"), F.expr(f"a.band = b.band and a.key = b.key and {differ}")).select(*pair)
 
     groups = left.where(f"members > {SMALL}").select(F.col("id").alias("u"), F.col("c.id").alias("v"), "n", "s0", "s1", "component").distinct()
-    both = _with_sets(groups, texts, words, tables, "grouped")
+    both = _with_sets(groups, sets)
     most = f"int(n * {100 - percent} div 100) + 1"
     extras = F.expr(f"slice(sort_array(array_except(su, sv)), 1, {most})")
     groups = tables.write(both.select(F.col("v").alias("centre"), F.col("u").alias("id"), "n", "s0", "s1", "component", F.col("common").alias("x"), extras.alias("extras")), "grouped")
