@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.plans import evaluation, posts, texts
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in (posts, evaluation, texts):
+    if clash := QUERIES.keys() & _module.catalogue.queries.keys():
+        raise ValueError(f"registered twice: {clash}")
+    QUERIES |= _module.catalogue.queries
+    ORACLE |= _module.catalogue.sql
