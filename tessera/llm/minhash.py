@@ -28,7 +28,8 @@ from tessera.llm.components import connected_components
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 SMALL = 96  # members of a bucket whose pairs are all compared
-SKETCH_MOST = 34  # of 128 bits; two sets at similarity 0.8 differ in 13 +- 3.4
+SKETCH = ("s0", "s1", "t0", "t1")  # two bits of each minimum
+SKETCH_MOST = 44  # of 128 minima; two sets at similarity 0.8 differ in 19 +- 4
 
 
 class Shingler:
@@ -67,7 +68,7 @@ class Shingler:
 
 
 def _signatures(words: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("bands", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("bands", pa.list_(pa.int64())), *((c, pa.int64()) for c in SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -95,12 +96,14 @@ def _signatures(words: int):
             keys = np.zeros((len(has), BANDS), np.uint64)
             for r in range(ROWS):
                 keys += mix(minima[r::ROWS].T + weights[r]) * weights[r]
-            bits = (mix(minima) & np.uint64(1)).astype(np.uint8)
-            sketch = np.zeros((len(sets), 2), np.int64)
+            mixed = mix(minima)
+            sketch = np.zeros((len(sets), 4), np.int64)
             if len(has):
-                sketch[has] = np.packbits(bits, axis=0).T.copy().view(np.int64)
+                for bit in (0, 1):
+                    bits = (mixed >> np.uint64(bit) & np.uint64(1)).astype(np.uint8)
+                    sketch[has, 2 * bit : 2 * bit + 2] = np.packbits(bits, axis=0).T.copy().view(np.int64)
             bands = list_array(mix(keys).view(np.int64).ravel(), np.where(sizes > 0, BANDS, 0), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(low), pa.array(high), bands, pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(low), pa.array(high), bands, *(pa.array(sketch[:, j].copy()) for j in range(4))], schema=schema)
 
     return run
 
@@ -151,11 +154,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     tables = Tables(spark)
     texts = docs.select(as_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sigs = tables.write(texts.mapInArrow(_signatures(words), "id bigint, n bigint, d0 bigint, d1 bigint, bands array<bigint>, s0 bigint, s1 bigint"), "signatures")
+    sigs = tables.write(texts.mapInArrow(_signatures(words), "id bigint, n bigint, d0 bigint, d1 bigint, bands array<bigint>, s0 bigint, s1 bigint, t0 bigint, t1 bigint"), "signatures")
     known = sigs.where("id is not null and n > 0")
     classes = tables.write(known.groupBy("d0", "d1").agg(F.min("id").alias("rep")), "classes")
     reps = known.join(classes.withColumnRenamed("rep", "id"), ["d0", "d1", "id"], "left_semi").where("n > 1")
-    banded = reps.select("id", "n", "s0", "s1", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("id", "n", *SKETCH, F.posexplode("bands").alias("band", "key"))
     buckets = tables.write(banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     members = tables.write(banded.join(buckets, ["band", "key"]), "members")
     centred = tables.write(_centred(members, tables), "centred")
@@ -178,17 +181,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _alike(other: str, percent: int, own: str = "") -> str:
-    """Condition: sizes and 128-bit signatures allow a link."""
+    """Condition: sizes and signatures allow a link."""
     a = f"{own}." if own else ""
-    return f"bit_count({a}s0 ^ {other}.s0) + bit_count({a}s1 ^ {other}.s1) <= {SKETCH_MOST} and 100 * least({a}n, {other}.n) >= {percent} * greatest({a}n, {other}.n)"
+    differ = " + ".join(f"bit_count(({a}s{j} ^ {other}.s{j}) | ({a}t{j} ^ {other}.t{j}))" for j in (0, 1))
+    return f"{differ} <= {SKETCH_MOST} and 100 * least({a}n, {other}.n) >= {percent} * greatest({a}n, {other}.n)"
 
 
 def _centred(members: DataFrame, tables: Tables) -> DataFrame:
     """Members with their bucket's centre c: the one that stands in the largest buckets, so has least of its own."""
     weights = tables.write(members.groupBy("id").agg(F.sum("members").alias("weight")), "weights")
     weighed = members.join(weights, "id")
-    centres = weighed.groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "s0", "s1")).alias("m"))
-    centres = centres.select("band", "key", F.struct((-F.col("m.minus")).alias("id"), "m.n", "m.s0", "m.s1").alias("c"))
+    centres = weighed.groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", *SKETCH)).alias("m"))
+    centres = centres.select("band", "key", F.struct((-F.col("m.minus")).alias("id"), "m.n", *(f"m.{c}" for c in SKETCH)).alias("c"))
     return members.join(tables.write(centres, "centres"), ["band", "key"])
 
 
@@ -212,18 +216,18 @@ def _remaining(left: DataFrame, sets: DataFrame, percent: int, tables: Tables) -
     """
     pair = (F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
     differ = f"a.id < b.id and a.component <> b.component and {_alike('b', percent, 'a')}"
-    plain = left.select("band", "key", "members", "id", "n", "s0", "s1", "component")
+    plain = left.select("band", "key", "members", "id", "n", *SKETCH, "component")
     small = plain.where(f"members <= {SMALL}")
     near = small.alias("a").join(small.alias("b"), F.expr(f"a.band = b.band and a.key = b.key and {differ}")).select(*pair)
 
-    groups = left.where(f"members > {SMALL}").select(F.col("id").alias("u"), F.col("c.id").alias("v"), "n", "s0", "s1", "component").distinct()
+    groups = left.where(f"members > {SMALL}").select(F.col("id").alias("u"), F.col("c.id").alias("v"), "n", *SKETCH, "component").distinct()
     both = _with_sets(groups, sets)
     most = f"int(n * {100 - percent} div 100) + 1"
     extras = F.expr(f"slice(sort_array(array_except(su, sv)), 1, {most})")
-    groups = tables.write(both.select(F.col("v").alias("centre"), F.col("u").alias("id"), "n", "s0", "s1", "component", F.col("common").alias("x"), extras.alias("extras")), "grouped")
+    groups = tables.write(both.select(F.col("v").alias("centre"), F.col("u").alias("id"), "n", *SKETCH, "component", F.col("common").alias("x"), extras.alias("extras")), "grouped")
     within = groups.drop("extras").where(f"100 * x >= {percent} * n")
     fits = f"{100 + percent} * least(a.x, b.x) >= {percent} * (a.n + b.n)"
     inside = within.alias("a").join(within.alias("b"), F.expr(f"a.centre = b.centre and {fits} and {differ}")).select(*pair)
-    beyond = groups.select("centre", "id", "n", "s0", "s1", "component", F.explode("extras").alias("extra"))
+    beyond = groups.select("centre", "id", "n", *SKETCH, "component", F.explode("extras").alias("extra"))
     shared = beyond.alias("a").join(beyond.alias("b"), F.expr(f"a.centre = b.centre and a.extra = b.extra and {differ}")).select(*pair)
     return near.union(inside).union(shared)
