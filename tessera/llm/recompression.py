@@ -166,13 +166,13 @@ class Asked:
         self.twice = np.bincount(inverse, minlength=len(places)) > 1
 
     def blocks(self) -> list[dict]:
-        ends = np.append(self.at[1:], len(self.k0))
+        ends = np.append(self.at, len(self.k0))[1:]
         return [{"bucket": int(b), "k0": self.k0[i:j].tobytes(), "k1": None if self.k1 is None else self.k1[i:j].tobytes()} for b, i, j in zip(self.found, self.at, ends, strict=True)]
 
     def shared(self, answers: list[dict] | None) -> np.ndarray:
         """For each key asked with, whether it occurs twice or more."""
         by = {a["bucket"]: a["bits"] for a in answers or []}
-        ends = np.append(self.at[1:], len(self.k0))
+        ends = np.append(self.at, len(self.k0))[1:]
         bits = [np.unpackbits(np.frombuffer(by[int(b)], np.uint8), count=j - i) for b, i, j in zip(self.found, self.at, ends, strict=True)]
         known = np.concatenate(bits).astype(bool) if bits else np.empty(0, bool)
         return (known | self.twice)[self.inverse]
