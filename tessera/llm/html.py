@@ -196,13 +196,13 @@ class Page:
         return best, by_path[best]
 
     def text(self, winners: list[str]) -> str:
-        """Blocks under the first winning path that the page has, or else under its own vote."""
+        """Blocks under the first winning path that the page has, or else under its own vote, or all if it has no containers."""
         for path in [*winners, self.vote()[0]]:
             mine = {i for i, p in enumerate(self.paths) if p == path}
             found = [t for t, linked, around in self.blocks if mine & set(around) and (2 * linked < len(t) or linked < 1)]
             if found:
                 return "\n".join(found)
-        return ""
+        return "" if self.paths else "\n".join(t for t, linked, _ in self.blocks if 2 * linked < len(t))
 
 
 def _votes() -> object:

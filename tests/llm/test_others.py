@@ -106,7 +106,7 @@ def test_pages(spark):
 
 def test_hosts_agree(spark):
     """A page on which a long sidebar without a telling name outweighs the text follows the host's other pages."""
-    page = lambda a, b: f"<body><div class=c1><p>{prose(a, 40 if a else 4)}</p></div><div class=c2><p>{prose(99, b)}</p></div>"
+    page = lambda a, b: f"<body><div class=words><p>{prose(a, 40 if a else 4)}</p></div><div class=extra><p>{prose(99, b)}</p></div>"
     rows = [(i, f"http://host.example/{i}", page(i, 2)) for i in range(1, 9)] + [(9, "http://host.example/9", page(0, 60))]
     got = {r[0]: r[2] for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got[9] == prose(0, 4)
