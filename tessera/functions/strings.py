@@ -52,7 +52,7 @@ def context_and_program(text: Column) -> tuple[Column, Column]:
 def docstring(text: Column) -> Column:
     """The lines of the first docstring, trimmed and joined; quotes may be double or single."""
     body = F.when(F.contains(text, F.lit('"""')), F.split(text, '"""')[1]).when(F.contains(text, F.lit("'''")), F.split(text, "'''")[1]).otherwise("")
-    return F.array_join(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def without_returns(text: Column) -> Column:
@@ -120,7 +120,7 @@ def indented(text: Column) -> Column:
 
 
 def clean_lines(text: Column) -> Column:
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def date_text(date: Column, pattern: str) -> Column:
