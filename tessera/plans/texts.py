@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import code, html_blocks, maps
 from tessera.functions import strings as S
-from tessera.operators import boolean_tests, experiments, packing, posts, sampling
+from tessera.operators import boolean_tests, experiments, packing
 from tessera.registry import Catalogue, metrics, transforms
 from tessera.session import table
 from tessera.streaming import events as streams
