@@ -163,3 +163,32 @@ def test_empty_tables(spark, no_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(no_docs, none).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def all_holders(rows, least):
+    """Each document against every earlier one."""
+    want = Counter()
+    for i, t in rows:
+        lines, gone = linededup.text_lines(t or ""), set()
+        for j, u in rows:
+            if i is not None and j is not None and j < i:
+                for a, _, n in linededup.common_blocks(lines, linededup.text_lines(u or "")):
+                    if sum(map(len, lines[a : a + n])) >= least:
+                        gone |= set(range(a, a + n))
+        want[i, len(lines), len(gone)] += 1
+    return want
+
+
+@pytest.mark.parametrize("least", [1, 20, 40])
+def test_line_dedup_aligns_all_holders(spark, least):
+    """Lines in crossing order or twice in their latest holder, or split over two, of which other holders have them in order."""
+    import random
+
+    r = random.Random(8)
+    pool = [prose(200 + i, 1 + i % 6) for i in range(9)] + [x * 2 for x in ("}", "return x;", "All rights reserved. ")]
+    one, two = pool[4], pool[5]
+    rows = [(1, f"{one}\nown a\n{two}"), (2, f"{two}\nown b\n{one}"), (3, f"{one}\nown c\n{one}"), (4, f"own d\n{two}\nown e\n{two}"), (5, f"{one}\nown f\n{two}")]
+    rows += [(r.randrange(6, 80), "\n".join(r.choice([*pool, f"own {k}", "own x", " "]) for _ in range(r.randrange(9)))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = linededup.remove_common_lines(docs, least_chars=least).select("doc_id", "n_lines", "n_deleted").collect()
+    assert Counter(map(tuple, got)) == all_holders(rows, least)
