@@ -5,7 +5,8 @@ container that holds most of its text outside links, named by its path of genera
 tags and classes (digits become #). Spark sums the votes of a host, and the
 paths with a fair share of them win. Every page is then read again, and what lies under
 the host's winning paths is its text; a page that has none of them falls back on its
-own vote. Menus, adverts and the like are left out wherever they stand.
+own vote. Menus, adverts and the like are left out wherever they stand; links count in
+votes only, and a block of links under a winning path is text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from tessera.llm.common import Tables, as_id, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 RAW = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "template", "svg", "math", "object", "canvas")}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,11 +109,12 @@ class Page:
             if text:
                 heading = any(t in HEADINGS for t, _, _ in self._stack[-2:])
                 self.blocks.append((text, 0 if heading else min(self._linked, len(text)), tuple(c for _, c, _ in self._stack if c >= 0)))
+                self._link = False  # a link that is never closed ends with its block
         self._parts, self._linked = [], 0
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "a":
-            self._link = True
+            self._link = any(x[0].lower() == "href" for x in ATTRIBUTE.findall(attrs)) and not CLOSED.search(attrs)
         if tag == "br":
             self._parts.append(" ")
         if tag in VOID:
@@ -166,17 +169,18 @@ class Page:
                     break
             return
         self._flush()
+        self._link = False
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] == tag:
                 del self._stack[i:]
                 return
 
-    def vote(self) -> tuple[str, int]:
-        """(path, score): the deepest container with most of the text outside links; an article or main around it stands for it."""
+    def vote(self, links: bool = False) -> tuple[str, int]:
+        """(path, score): the deepest container with most of the text outside links, or with ``links`` of all text; an article or main around it stands for it."""
         score: dict[int, int] = defaultdict(int)
         whole = 0
         for text, linked, around in self.blocks:
-            good = len(text) - linked if 2 * linked < len(text) else 0
+            good = len(text) if links else len(text) - linked if 2 * linked < len(text) else 0
             whole += good
             for c in around:
                 score[c] += good
@@ -196,13 +200,13 @@ class Page:
         return best, by_path[best]
 
     def text(self, winners: list[str]) -> str:
-        """Blocks under the first winning path that the page has, or else under its own vote, or all if it has no containers."""
-        for path in [*winners, self.vote()[0]]:
+        """All blocks under the first winning path that the page has, or else under its own vote, or all if it has none."""
+        for path in [*winners, self.vote()[0], self.vote(links=True)[0]]:
             mine = {i for i, p in enumerate(self.paths) if p == path}
-            found = [t for t, linked, around in self.blocks if mine & set(around) and (2 * linked < len(t) or linked < 1)]
+            found = [t for t, _, around in self.blocks if mine & set(around)]
             if found:
                 return "\n".join(found)
-        return "" if self.paths else "\n".join(t for t, linked, _ in self.blocks if 2 * linked < len(t))
+        return "\n".join(t for t, _, _ in self.blocks)
 
 
 def _votes() -> object:

@@ -185,3 +185,23 @@ def test_sql(spark, name):
     names = sorted(want.columns)
     got = QUERIES[name](spark, SF).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(tuple(r[want.columns.index(n)] for n in names) for r in want.fetchall())
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><article><h1>T</h1><p>some words of text</p><p><a href=/x>a sentence that is a link</a></p><ul><li><a href='/s'>source</a></ul></article>", "T\nsome words of text\na sentence that is a link\nsource"),
+        ("<body><div id=a><a name=top><p>one two three</p><a id=x/><p>four five</p><a href='/y'/><p>six</p></div>", "one two three\nfour five\nsix"),
+        ("<body><div id=a><p><a href=/x>never closed</p><p>one two three four five</p><p>six seven</p></div>", "never closed\none two three four five\nsix seven"),
+        ("<body><article><p><a href=/x>nothing but links</a></p></article>", "nothing but links"),
+        ("<p><a href=/x>no container</a></p><p>text</p>", "no container\ntext"),
+    ],
+)
+def test_links_of_the_article_stay(page, want):
+    p = html.Page(page)
+    assert p.text([x for x in [p.vote()[0]] if x]) == want
+
+
+def test_links_count_in_votes():
+    linked = [n for _, n, _ in html.Page("<div><p><a href=/x>link</a></p><p><a name=y>open</p><p>text<p><a href=/z>open</p><p>text</div>").blocks]
+    assert linked == [4, 0, 0, 4, 0]
