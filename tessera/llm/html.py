@@ -1,9 +1,11 @@
 """Main text of web pages by consensus host paths.
 
 Each page is read into blocks of text under containers. The page votes for the deepest
-container that holds most of its text outside links, named by its path of generalised
-tags and classes (digits become #). Spark sums the votes of a host, and the
-paths with a fair share of them win. Every page is then read again, and what lies under
+structural container (no list, table or quotation) that holds most of its text outside
+links, named by its path of generalised tags and classes (digits become #). Unless an
+article or main stands around it, the vote climbs to the path that covers the rest of the text
+too, but for blocks that half of the host's pages repeat. Spark sums the votes of a host, and
+the paths with a fair share of them win. Every page is then read again, and what lies under
 the host's winning paths is its text; a page that has none of them falls back on its
 own vote. Menus, adverts and the like are left out wherever they stand; links count in
 votes only, and a block of links under a winning path is text.
@@ -12,11 +14,13 @@ votes only, and a block of links under a winning path is text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,9 @@ CLOSES_P = set("address article aside blockquote center div dl fieldset figure f
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table div section article main body td".split())
 CONTAINERS = set("html body main article section div td center blockquote table tbody tr form ul ol dl figure".split())
+STRUCTURAL = set("html body main article section div center td".split())
+#: The path above all others, for text that stands outside every container.
+ALL = ""
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 DROPPED = set("nav aside footer form button select menu dialog input fieldset head figcaption audio video map".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -67,6 +74,14 @@ def unwanted(names: list[str]) -> bool:
     return False
 
 
+def _tag(path: str) -> str:
+    return path.rpartition(">")[2].split(".")[0]
+
+
+def _good(text: str, linked: int, links: bool) -> int:
+    return len(text) if links else len(text) - linked if 2 * linked < len(text) else 0
+
+
 class Page:
     """The blocks of a page: text, characters within links, and the containers around it, outermost first."""
 
@@ -175,58 +190,98 @@ class Page:
                 del self._stack[i:]
                 return
 
-    def vote(self, links: bool = False) -> tuple[str, int]:
-        """(path, score): the deepest container with most of the text outside links, or with ``links`` of all text; an article or main around it stands for it."""
+    def _scores(self, links: bool = False) -> tuple[dict[str, int], str]:
+        """The text outside links (or with ``links`` all) under each structural path, and the deepest path with most of it."""
         score: dict[int, int] = defaultdict(int)
         whole = 0
         for text, linked, around in self.blocks:
-            good = len(text) if links else len(text) - linked if 2 * linked < len(text) else 0
+            good = _good(text, linked, links)
             whole += good
             for c in around:
                 score[c] += good
         by_path: dict[str, int] = defaultdict(int)
         for c, s in score.items():
-            by_path[self.paths[c]] += s
+            if _tag(self.paths[c]) in STRUCTURAL:
+                by_path[self.paths[c]] += s
         fit = [p for p, s in by_path.items() if s >= SHARE * whole and s]
-        if not fit:
-            return "", 0
-        best = max(fit, key=lambda p: (p.count(">"), by_path[p], p))
+        return by_path, max(fit, key=lambda p: (p.count(">"), by_path[p], p), default="")
+
+    def vote(self, links: bool = False) -> tuple[str, int, list[tuple[str, int]]]:
+        """(path, score, rest): the deepest structural container with most of the text outside links; an article or main around it stands for it.
+
+        Without those two, ``rest`` has the hash of each block of text beside that container, with the deepest path above both.
+        """
+        by_path, best = self._scores(links)
         steps = best.split(">")
         for tag in ("article", "main"):
             for i, step in enumerate(steps):
                 if step.split(".")[0] == tag:
                     best = ">".join(steps[: i + 1])
-                    return best, by_path[best]
-        return best, by_path[best]
+                    return best, by_path[best], []
+        above = [p for i in range(len(steps)) if _tag(p := ">".join(steps[: i + 1])) in STRUCTURAL]
+        rest: dict[int, str] = {}
+        for text, linked, around in self.blocks if best else []:
+            under = {self.paths[c] for c in around}
+            if best not in under and _good(text, linked, links):
+                path = max((p for p in above if p in under), key=len, default=ALL)
+                h = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                rest[h] = min(path, rest.get(h, path), key=len)
+        return best, by_path[best] if best else 0, [(p, h) for h, p in rest.items()]
+
+    def own(self, links: bool = False) -> str | None:
+        """The path that covers all of the page's text, as far as the page alone tells."""
+        best, _, rest = self.vote(links)
+        if not best:
+            return None
+        return min((best, *(p for p, _ in rest)), key=len)
 
     def text(self, winners: list[str]) -> str:
         """All blocks under the first winning path that the page has, or else under its own vote, or all if it has none."""
-        for path in [*winners, self.vote()[0], self.vote(links=True)[0]]:
+        for path in [*winners, self.own(), self.own(links=True)]:
+            if path is None:
+                continue
             mine = {i for i, p in enumerate(self.paths) if p == path}
-            found = [t for t, _, around in self.blocks if mine & set(around)]
+            found = [t for t, _, around in self.blocks if path == ALL or mine & set(around)]
             if found:
                 return "\n".join(found)
         return "\n".join(t for t, _, _ in self.blocks)
 
 
 def _votes() -> object:
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64()), ("score", pa.int64())])
+    """Votes, summed for pages that have no text beside their path; others come one by one, with that text."""
+    item = pa.struct([("path", pa.string()), ("block", pa.int64())])
+    schema = pa.schema([("page", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("votes", pa.int64()), ("score", pa.int64()), ("rest", pa.list_(item))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 4 << 20):
             votes: Counter = Counter()
             score: Counter = Counter()
+            out = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                path, n = Page(html or "").vote()
-                if path:
+                path, n, rest = Page(html or "").vote()
+                if rest:
+                    out.append((uuid.uuid4().int >> 65, host, path, 1, n, [{"path": p, "block": h} for p, h in rest]))
+                elif path:
                     votes[host, path] += 1
                     score[host, path] += n
-            keys = list(votes)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array([votes[k] for k in keys], pa.int64()), pa.array([score[k] for k in keys], pa.int64())], schema=schema)
+            out += [(None, h, p, n, score[h, p], []) for (h, p), n in votes.items()]
+            columns = [*zip(*out, strict=True)] or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
+def _climbed(votes: DataFrame) -> DataFrame:
+    """(host, path, votes, score) of each page: its path climbs to cover the text beside it, but for blocks on half of the host's pages."""
+    rest = votes.where("page is not null").select("page", "host", F.explode("rest").alias("x")).select("page", "host", "x.path", "x.block")
+    repeated = rest.groupBy("host", "block").agg(F.count("*").alias("n")).where("n > 1")
+    total = votes.groupBy("host").agg(F.sum("votes").alias("total"))
+    repeated = repeated.join(total, "host").where("2 * n >= total").select("host", "block")
+    # The paths above a page's path are prefixes of each other, so the shortest is the outermost.
+    up = rest.join(repeated, ["host", "block"], "left_anti").groupBy("page").agg(F.min_by("path", F.length("path")).alias("up"))
+    return votes.join(up, "page", "left").select("host", F.coalesce("up", "path").alias("path"), "votes", "score")
+
+
 def _texts() -> object:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
@@ -248,16 +303,18 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     text, and pages without a readable host vote together. Repeated rows
     vote and are returned each. Other columns are not read.
 
-    Only counts of votes are shuffled. Winning paths, at most 1 / share a host, are joined
+    Counts of votes are shuffled, and hashes of the blocks beside a page's path. Winning paths, at most 1 / share a host, are joined
     by host; Spark broadcasts them if they are small and else splits hot hosts.
     """
     tables = Tables(pages.sparkSession)
     url = F.col(f"`{url_col}`").cast("string")
     host = F.coalesce(F.lower(F.try_parse_url(F.trim(url), F.lit("HOST"))), F.lit(""))
     own = pages.select(as_id(pages, id_col).alias("id"), url.alias("url"), host.alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    votes = own.select("host", "html").mapInArrow(_votes(), "host string, path string, votes bigint, score bigint")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+    kind = "page bigint, host string, path string, votes bigint, score bigint, rest array<struct<path:string,block:bigint>>"
+    votes = tables.write(own.select("host", "html").mapInArrow(_votes(), kind), "votes")
+    votes = _climbed(votes).groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     fair = votes.withColumn("total", F.sum("votes").over(Window.partitionBy("host"))).where(F.col("votes") >= F.col("total") * share)
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")))
     winners = tables.write(fair.groupBy("host").agg(ranked.alias("w")).select("host", F.col("w.path").alias("winners")), "winners")
+    tables.drop("votes")
     return own.join(winners, "host", "left").select("id", "url", "html", "winners").mapInArrow(_texts(), "page_id bigint, url string, text string")

@@ -205,3 +205,27 @@ def test_links_of_the_article_stay(page, want):
 def test_links_count_in_votes():
     linked = [n for _, n, _ in html.Page("<div><p><a href=/x>link</a></p><p><a name=y>open</p><p>text<p><a href=/z>open</p><p>text</div>").blocks]
     assert linked == [4, 0, 0, 4, 0]
+
+
+def test_all_of_the_article_is_covered(spark):
+    """Lists of most of the text, leads beside bodies, and text in wrappers, on hosts of one page and of many."""
+    many = lambda i: "".join(f"<li>{prose(500 + 10 * i + k, 12)}" for k in range(6))
+    recipe = lambda i: (f"<body><div class=menu><a href=/>Home</a></div><div class=content><h1>T{i}</h1><p>intro {i}</p><ul>{many(i)}</ul><p>end {i}</p></div>", [f"T{i}", f"intro {i}", *(prose(500 + 10 * i + k, 12) for k in range(6)), f"end {i}"])
+    lead = lambda i: (f"<body><div class=lead>lead {i}</div><div class=wrap><div class=body><p>{prose(700 + i, 40)}</p></div></div>", [f"lead {i}", prose(700 + i, 40)])
+    cell = lambda i: (f"<body><div><p>before {i}</p><table><tr><th>head {i}</th><td>{prose(800 + i, 40)}</td></tr></table></div>", [f"before {i}", f"head {i}", prose(800 + i, 40)])
+    loose = lambda i: (f"<p>loose {i}</p><div class=x><p>{prose(900 + i, 40)}</p></div>", [f"loose {i}", prose(900 + i, 40)])
+    rows, want = [], {}
+    for n, kind in enumerate((recipe, lead, cell, loose)):
+        for i in range(7):
+            page, lines = kind(i)
+            for j, host in enumerate((f"many{n}", f"one{n}x{i}")):
+                rows.append((key := 100 * n + 10 * i + j, f"http://{host}.example/{i}", page))
+                want[key] = "\n".join(lines)
+    got = {r[0]: r[2] for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_repeated_blocks_do_not_raise_the_path(spark):
+    rows = [(i, f"http://host.example/{i}", f"<body><div class=words><p>{prose(i, 40)}</p></div><div class=extra><p>the same words</p></div>") for i in range(6)]
+    got = {r[0]: r[2] for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: prose(i, 40) for i in range(6)}
