@@ -263,12 +263,12 @@ def _all_needs(classes: DataFrame, least: int, tables: Tables) -> DataFrame:
     return tables.write(by_class(needs), "all-needs")
 
 
-def remove_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40) -> DataFrame:
+def remove_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 1) -> DataFrame:
     """(doc_id, n_lines, n_deleted, text), a row for each row of ``docs``.
 
     Lines are what newlines part, trimmed; those of white space only don't count. A document is
     aligned with each document of smaller doc_id, by patience diff; of both as they came in. Lines
-    that are in an aligned common block of at least ``least_chars`` characters with any of them
+    that are in an aligned common block of at least ``least_chars`` characters (1: of any size) with any of them
     go from the later document; other lines, and empty ones, stay as they are. A null text stays null with no lines. Rows without
     doc_id are left alone. Rows that repeat a doc_id are never aligned with each other;
     with the same text they share what is deleted. Other columns are not read.
@@ -277,7 +277,7 @@ def remove_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     return without_common_lines(both, least_chars=least_chars).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), "text")
 
 
-def without_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40) -> DataFrame:
+def without_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 1) -> DataFrame:
     """As remove_common_lines, but with all columns of ``docs`` and then __n_lines and __n_deleted."""
     tables = Tables(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")

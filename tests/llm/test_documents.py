@@ -192,3 +192,10 @@ def test_line_dedup_aligns_all_holders(spark, least):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = linededup.remove_common_lines(docs, least_chars=least).select("doc_id", "n_lines", "n_deleted").collect()
     assert Counter(map(tuple, got)) == all_holders(rows, least)
+
+
+def test_line_dedup_takes_short_lines(spark):
+    """Blocks have no least size unless one is asked for."""
+    rows = [(k, f"{prose(300 + k, 30)}\nAll rights reserved.\n{prose(400 + k, 30)}") for k in range(5)]
+    got = linededup.remove_common_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_lines", "n_deleted").collect()
+    assert Counter(map(tuple, got)) == all_holders(rows, 1) == Counter([(k, 3, int(k > 0)) for k in range(5)])
