@@ -98,6 +98,33 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             at = to
 
 
+def list_slices(batches: Iterator[pa.RecordBatch], *lists: str, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the ``lists`` columns of each have about ``most`` items; a row is never cut."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
+        ends = np.cumsum(sizes + 1)
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Column names that begin with ``names`` and clash with none of ``taken``."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        k = 0
+        while (free := f"__{name}{k}").lower() in low:
+            k += 1
+        out.append(free)
+    return out
+
+
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; forgets everything when it has ``most`` words."""
 

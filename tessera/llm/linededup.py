@@ -1,18 +1,17 @@
-"""Line dedup by pairwise alignment with all earlier documents.
+"""Line dedup by pairwise alignment of documents that share rare lines.
 
 Lines that only one document holds never align, so a run of them is one gap, and documents
 with the same shared lines and gaps are one class: what a pair aligns depends on
-their classes alone. A class is first aligned with itself and, for each of its runs (lines
-that are long enough to go, shorter ones with a neighbour), with the latest earlier class that holds the run.
-Classes in which lines still stand are then aligned with all other earlier holders of the runs
-that could take them, so the result is that of all pairs of documents. Lines that stand once
-in both of a pair anchor a patience diff, and the aligned common blocks go from the later
-document.
+their classes alone. Two classes overlap if they share a rare line, one that few classes hold.
+Every overlapping pair is aligned, and each class with itself: lines that stand once in both
+anchor a patience diff, and the aligned common blocks go from the later document. A line that more
+classes hold opens no pairs: it goes from all documents but the first that
+holds it, which is all that alignment with each of its holders could take. Pairs therefore grow with
+the lines, not with the square of a group, and nothing is left out.
 """
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -20,13 +19,13 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import Tables, as_id, slices
+from tessera.llm.common import Tables, as_id, free_names, list_slices, slices
 
-BUCKET = 4096
+RARE = 16
 
 
 def common_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -100,43 +99,29 @@ def _line_hashes() -> object:
     return run
 
 
-def _runs(lines: list[int | None], sizes: list[int], least: int) -> list[list[int]]:
-    """For each place, the runs of which a block that takes its line has one: the line if long enough, or else the pairs with its neighbours."""
-    runs: list[list[int]] = [[x] if x is not None and n >= least else [] for x, n in zip(lines, sizes, strict=True)]
-    for i in range(len(lines) - 1):
-        if lines[i] is not None and lines[i + 1] is not None and min(sizes[i : i + 2]) < least:
-            both = xxhash.xxh3_64_intdigest(array("q", lines[i : i + 2]).tobytes()) - (1 << 63)
-            for k in (i, i + 1):
-                if sizes[k] < least:
-                    runs[k].append(both)
-    return runs
-
-
-def _projected(least: int) -> object:
+def _projected() -> object:
     """A document's shared lines with gaps (null, of size 0), their class, and where the lines are."""
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("c", pa.binary()), ("at", pa.list_(pa.int32())), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("runs", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("c", pa.binary()), ("at", pa.list_(pa.int32())), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                out = []
-                for n, shared in zip(part.column("n").to_pylist(), part.column("shared").to_pylist(), strict=True):
-                    lines: list[int | None] = []
-                    sizes, at, then = [], [], 0
-                    for x in [*shared, {"pos": n}]:
-                        if x["pos"] > then:
-                            lines.append(None)
-                            sizes.append(0)
-                        if x["pos"] < n:
-                            lines.append(x["line"])
-                            sizes.append(x["size"])
-                            at.append(x["pos"])
-                        then = x["pos"] + 1
-                    key = repr([*zip(lines, sizes, strict=True)]).encode()
-                    out.append((xxhash.xxh3_128_digest(key), at, lines, sizes, [*{r for runs in _runs(lines, sizes, least) for r in runs}]))
-                columns = [*zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
+        for part in list_slices(batches, "shared"):
+            out = []
+            for n, shared in zip(part.column("n").to_pylist(), part.column("shared").to_pylist(), strict=True):
+                lines: list[int | None] = []
+                sizes, at, then = [], [], 0
+                for x in [*shared, {"pos": n}]:
+                    if x["pos"] > then:
+                        lines.append(None)
+                        sizes.append(0)
+                    if x["pos"] < n:
+                        lines.append(x["line"])
+                        sizes.append(x["size"])
+                        at.append(x["pos"])
+                    then = x["pos"] + 1
+                key = repr([*zip(lines, sizes, strict=True)]).encode()
+                out.append((xxhash.xxh3_128_digest(key), at, lines, sizes))
+            columns = [*zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
     return run
 
@@ -146,149 +131,109 @@ def _aligned(least: int) -> object:
     schema = pa.schema([("c", pa.binary()), ("need", pa.int64()), ("gone", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                gone = []
-                for mine, sizes, theirs in zip(*(part.column(c).to_pylist() for c in ("lines", "sizes", "earlier")), strict=True):
-                    rank = [*accumulate(x is not None for x in mine)]
-                    blocks = common_blocks(mine, ["" if x is None else x for x in theirs])
-                    gone.append([rank[k] - 1 for i, _, n in blocks if sum(sizes[i : i + n]) >= least for k in range(i, i + n)])
-                yield pa.RecordBatch.from_arrays([part.column("c"), part.column("need"), pa.array(gone, pa.list_(pa.int32()))], schema=schema)
-
-    return run
-
-
-def _standing(least: int) -> object:
-    """(c, run, bound): runs whose holders with a first doc_id under ``bound`` may take a line that still stands."""
-    schema = pa.schema([("c", pa.binary()), ("run", pa.int64()), ("bound", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                out: list[tuple[bytes, int, int]] = []
-                for row in batch.slice(at, 500).to_pylist():
-                    needs = {x["k"]: x["need"] for x in row["needs"] or []}
-                    bounds: dict[int, int] = {}
-                    k = -1
-                    for x, runs in zip(row["lines"], _runs(row["lines"], row["sizes"], least), strict=True):
-                        if x is None:
-                            continue
-                        k += 1
-                        need = needs.get(k, row["last"])
-                        if need < row["first"]:
-                            continue
-                        for r in runs:
-                            bounds[r] = max(bounds.get(r, row["first"]), min(need, row["last"]))
-                    out += [(row["c"], r, b) for r, b in bounds.items()]
-                columns = [*zip(*out, strict=True)] or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+        for part in list_slices(batches, "lines", "earlier"):
+            gone = []
+            for mine, sizes, theirs in zip(*(part.column(c).to_pylist() for c in ("lines", "sizes", "earlier")), strict=True):
+                rank = [*accumulate(x is not None for x in mine)]
+                blocks = common_blocks(mine, ["" if x is None else x for x in theirs])
+                gone.append([rank[k] - 1 for i, _, n in blocks if sum(sizes[i : i + n]) >= least for k in range(i, i + n)])
+            yield pa.RecordBatch.from_arrays([part.column("c"), part.column("need"), pa.array(gone, pa.list_(pa.int32()))], schema=schema)
 
     return run
 
 
-def _deleted(text_col: str) -> object:
+def _deleted(text_col: str, gone_col: str, counted: tuple[str, str]) -> object:
     """Delete lines from the column ``text_col``, and count; the other columns pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 4 << 20):
             counts, cut, texts = [], [], []
-            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column(gone_col).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
                 full = [k for k, x in enumerate(lines) if x.strip()]
                 drop = {full[k] for k in gone or []}
                 counts.append(len(full))
                 cut.append(len(drop))
                 texts.append(text if not drop else "\n".join(x for k, x in enumerate(lines) if k not in drop))
-            new = {text_col: pa.array(texts, pa.string()), "__n_lines": pa.array(counts, pa.int64()), "__n_deleted": pa.array(cut, pa.int64())}
-            names = [n for n in batch.schema.names if n != "__gone"]
+            new = {text_col: pa.array(texts, pa.string()), counted[0]: pa.array(counts, pa.int64()), counted[1]: pa.array(cut, pa.int64())}
+            names = [n for n in batch.schema.names if n != gone_col]
             names += [n for n in new if n not in names]
             yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
 
     return run
 
 
-def _pairs(classes: DataFrame, tables: Tables) -> DataFrame:
-    """(c, p): each class with the latest earlier ones that hold one of its runs.
-
-    The search for the latest earlier holder goes by buckets of ids, first within a bucket and
-    then over the buckets' last holders, so a run that all documents hold
-    never gathers them in a task.
-    """
-    held = classes.select("first", "c", F.explode("runs").alias("run")).withColumn("bucket", F.expr(f"first div {BUCKET}"))
-    ends = held.groupBy("run", "bucket").agg(F.max(F.struct("first", "c")).alias("last"), F.min("first").alias("least"))
-    by_bucket = Window.partitionBy("run").orderBy("bucket")
-    ends = ends.withColumns({"before": F.lag("last").over(by_bucket)}).where("before is not null or last.first > least")
-    ends = tables.write(ends.select("run", "bucket", "before"), "run-ends")
-    within = Window.partitionBy("run", "bucket").orderBy("first").rangeBetween(Window.unboundedPreceding, -1)
-    known = held.join(ends, ["run", "bucket"]).withColumn("p", F.coalesce(F.max(F.struct("first", "c")).over(within), "before"))
-    return known.where("p is not null").select("c", F.col("p.c").alias("p")).distinct()
-
-
-def _classes(lines: DataFrame, least: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """(id, h, c, at) of the documents with shared lines; (c, first, last, lines, sizes, runs) of their classes."""
+def _classes(lines: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(id, h, c, at) of the documents with shared lines; (c, first, last, lines, sizes) of their classes."""
     each = lines.select("id", "h", F.size("lines").alias("n"), F.posexplode(F.arrays_zip("lines", "sizes")).alias("pos", "x"))
     each = each.select("id", "h", "n", "pos", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     shared = each.groupBy("line").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("line")
-    own = each.join(tables.write(shared, "shared"), "line").groupBy("id", "h", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "size"))).alias("shared"))
-    kind = "id bigint, h bigint, c binary, at array<int>, lines array<bigint>, sizes array<int>, runs array<bigint>"
-    members = tables.write(own.mapInArrow(_projected(least), kind), "members")
-    same = [F.first(c).alias(c) for c in ("lines", "sizes", "runs")]
+    own = each.join(tables.write(shared, "shared").hint("merge"), "line").groupBy("id", "h", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "size"))).alias("shared"))
+    members = tables.write(own.mapInArrow(_projected(), "id bigint, h bigint, c binary, at array<int>, lines array<bigint>, sizes array<int>"), "members")
+    same = [F.first(c).alias(c) for c in ("lines", "sizes")]
     classes = members.groupBy("c").agg(F.min("id").alias("first"), F.max("id").alias("last"), *same)
     return members.select("id", "h", "c", "at"), tables.write(classes, "classes")
 
 
-def _needs(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """(c, k, need): a document of the class c loses its shared line k to one of these pairs if its doc_id is over ``need``."""
+def _pairs(held: DataFrame, holders: DataFrame, rare: int) -> DataFrame:
+    """(c, p): classes that share a rare line, if a document of c comes after the first of p; and a class with itself."""
+    few = held.join(holders.where(f"classes > 1 and classes <= {rare}").select("line").hint("merge"), "line")
+    mine, theirs = few.select("line", "c", "last"), few.select("line", F.col("c").alias("p"), "first")
+    own = held.where("first < last").select("c", F.col("c").alias("p"))
+    return mine.hint("merge").join(theirs, "line").where("c <> p and first < last").select("c", "p").union(own).distinct()
+
+
+def _needs(classes: DataFrame, rare: int, least: int, tables: Tables) -> DataFrame:
+    """(c, needs): a document of the class c loses its shared line k if its doc_id is over the ``need`` of k."""
+    each = classes.select("c", "first", "last", F.posexplode(F.expr("filter(arrays_zip(lines, sizes), x -> x.lines is not null)")).alias("k", "x"))
+    each = each.select("c", "first", "last", "k", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
+    held = tables.write(each.select("line", "c", "first", "last").distinct(), "held")
+    holders = tables.write(held.groupBy("line").agg(F.count("*").alias("classes"), F.min("first").alias("need")), "holders")
+    often = each.where(f"size >= {least}").join(holders.where(f"classes > {rare}").select("line", "need").hint("merge"), "line").where("need < last").select("c", "k", "need")
+    pairs = tables.write(_pairs(held, holders, rare), "pairs")
     earlier = classes.select(F.col("c").alias("p"), F.col("first").alias("need"), F.col("lines").alias("earlier"))
-    both = pairs.join(classes.select("c", "lines", "sizes"), "c").join(earlier, "p").select("c", "lines", "sizes", "earlier", "need")
-    gone = both.mapInArrow(_aligned(least), "c binary, need bigint, gone array<int>")
-    return gone.select("c", F.explode("gone").alias("k"), "need").groupBy("c", "k").agg(F.min("need").alias("need"))
-
-
-def _all_needs(classes: DataFrame, least: int, tables: Tables) -> DataFrame:
-    """(c, needs): as _needs, over all pairs of classes."""
-    own = classes.where("first < last").select("c", F.col("c").alias("p"))
-    pairs = tables.write(_pairs(classes, tables).union(own), "pairs")
-    chain = tables.write(_needs(pairs, classes, least), "needs")
-    by_class = lambda x: x.groupBy("c").agg(F.collect_list(F.struct("k", "need")).alias("needs"))
-    standing = classes.join(by_class(chain), "c", "left").mapInArrow(_standing(least), "c binary, run bigint, bound bigint")
-    holders = classes.select(F.col("c").alias("p"), F.col("first").alias("need"), F.explode("runs").alias("run"))
-    holders = tables.write(holders, "holders")
-    least_need = holders.groupBy("run").agg(F.min("need").alias("low"))
-    standing = tables.write(standing.join(least_need, "run").where("low < bound").select("c", "run", "bound"), "standing")
-    rest = standing.join(holders, "run").where("need < bound").select("c", "p").distinct().join(pairs, ["c", "p"], "left_anti")
-    rest = tables.write(rest, "rest")
-    needs = chain.union(_needs(rest, classes, least)).groupBy("c", "k").agg(F.min("need").alias("need"))
-    return tables.write(by_class(needs), "all-needs")
-
-
-def remove_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 1) -> DataFrame:
+    both = pairs.join(classes.select("c", "lines", "sizes").hint("merge"), "c").join(earlier.hint("merge"), "p").select("c", "lines", "sizes", "earlier", "need")
+    gone = both.mapInArrow(_aligned(least), "c binary, need bigint, gone array<int>").select("c", F.explode("gone").alias("k"), "need")
+    needs = gone.unionByName(often).groupBy("c", "k").agg(F.min("need").alias("need"))
+    return tables.write(needs.groupBy("c").agg(F.collect_list(F.struct("k", "need")).alias("needs")), "needs")
+
+
+def remove_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_chars: int = 1) -> DataFrame:
     """(doc_id, n_lines, n_deleted, text), a row for each row of ``docs``.
 
     Lines are what newlines part, trimmed; those of white space only don't count. A document is
-    aligned with each document of smaller doc_id, by patience diff; of both as they came in. Lines
-    that are in an aligned common block of at least ``least_chars`` characters (1: of any size) with any of them
-    go from the later document; other lines, and empty ones, stay as they are. A null text stays null with no lines. Rows without
+    aligned, by patience diff, with each document of smaller doc_id that shares a rare line with it or is of its class
+    (the same shared lines, parted alike), both as they came in. Lines in an aligned common block of at least ``least_chars`` characters (1: of any size) go
+    from the later document. A line that is not rare, because more than ``rare`` classes of documents hold it, goes from
+    every document but those of its least doc_id, if it has ``least_chars`` characters itself. Other lines, and empty ones, stay as they are.
+    A null or empty text stays as it is, with no lines. Rows without
     doc_id are left alone. Rows that repeat a doc_id are never aligned with each other;
-    with the same text they share what is deleted. Other columns are not read.
+    with the same text they share what is deleted. Other columns are not read. A text is read
+    whole, by one task, however long.
     """
     both = docs.select(as_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return without_common_lines(both, least_chars=least_chars).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), "text")
+    out = without_common_lines(both, rare=rare, least_chars=least_chars, counted=("n_lines", "n_deleted"))
+    return out.select("doc_id", "n_lines", "n_deleted", "text")
 
 
-def without_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 1) -> DataFrame:
-    """As remove_common_lines, but with all columns of ``docs`` and then __n_lines and __n_deleted."""
+def without_common_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least_chars: int = 1, counted: tuple[str, str] = ("__n_lines", "__n_deleted")
+) -> DataFrame:
+    """As remove_common_lines, but with all columns of ``docs`` and then the two counts, under the names ``counted`` (columns of ``docs`` that bear these are replaced)."""
     tables = Tables(docs.sparkSession)
+    docs = docs.drop(*(c for c in counted if c not in (id_col, text_col)))
+    if set(counted) & {id_col, text_col}:
+        raise ValueError(f"{counted} are to name the counts, not columns that are read")
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(as_id(docs, id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     held = own.where("id is not null and text is not null").mapInArrow(_line_hashes(), "id bigint, h bigint, lines array<bigint>, sizes array<int>")
     lines = tables.write(held.dropDuplicates(["id", "h"]), "lines")
-    members, classes = _classes(lines, least_chars, tables)
-    needs = _all_needs(classes, least_chars, tables)
-    gone = members.join(needs, "c").select("id", "h", F.expr("transform(filter(needs, x -> x.need < id), x -> at[x.k])").alias("__gone"))
-    gone = tables.write(gone.where("size(__gone) > 0").withColumnsRenamed({"id": "__id", "h": "__h"}), "deleted")
-    tables.drop("lines", "shared", "members", "classes", "pairs", "run-ends", "needs", "holders", "standing", "rest", "all-needs")
-    keyed = docs.withColumns({"__id": as_id(docs, id_col), "__h": F.xxhash64(text)})
-    schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_deleted", LongType())])
-    return keyed.join(gone, ["__id", "__h"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__gone").mapInArrow(_deleted(text_col), schema)
+    members, classes = _classes(lines, tables)
+    needs = _needs(classes, rare, least_chars, tables)
+    key, h, gone_col = free_names(docs.columns, "id", "h", "gone")
+    gone = members.join(needs.hint("merge"), "c").select(F.col("id").alias(key), F.col("h").alias(h), F.expr("transform(filter(needs, x -> x.need < id), x -> at[x.k])").alias(gone_col))
+    gone = tables.write(gone.where(F.size(gone_col) > 0), "deleted")
+    tables.drop("lines", "shared", "members", "classes", "held", "holders", "pairs", "needs")
+    keyed = docs.withColumns({key: as_id(docs, id_col), h: F.xxhash64(text)})
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counted)])
+    return keyed.join(gone.hint("merge"), [key, h], "left").select(*(F.col(f"`{c}`") for c in docs.columns), gone_col).mapInArrow(_deleted(text_col, gone_col, counted), schema)

@@ -83,30 +83,105 @@ def test_remove_repeats(docs, window):
     assert Counter(map(tuple, recompression.remove_repeats(docs, window=window).collect())) == want
 
 
-def test_line_dedup(docs):
-    rows = edge_rows()
-    got = Counter(map(tuple, linededup.remove_common_lines(docs, least_chars=20).collect()))
-    earlier, want = {}, Counter()
-    for i in sorted({i for i, _ in rows if i is not None}):
-        own = [t for j, t in rows if j == i]
-        for t in own:
-            lines = linededup.text_lines(t) if t is not None else []
-            gone = set()
-            for p in {earlier[x] for x in lines if x in earlier}:
-                for a, _, n in linededup.common_blocks(lines, list(p)):
-                    if sum(map(len, lines[a : a + n])) >= 20:
-                        gone |= set(range(a, a + n))
-            raw = t.split("\n") if t is not None else []
-            full = [k for k, x in enumerate(raw) if x.strip()]
-            drop = {full[k] for k in gone}
-            want[i, len(full), len(gone), None if t is None else "\n".join(x for k, x in enumerate(raw) if k not in drop)] += 1
-        for t in own:
-            for x in linededup.text_lines(t or ""):
-                earlier[x] = tuple(linededup.text_lines(t))
+def textbook_diff(a, b, at=0, of=0):
+    """Places of aligned lines, by the textbook: ends first, then the piles of lines that stand once in both, then between them."""
+    if a and b and a[0] == b[0]:
+        return [(at, of), *textbook_diff(a[1:], b[1:], at + 1, of + 1)]
+    if a and b and a[-1] == b[-1]:
+        return [*textbook_diff(a[:-1], b[:-1], at, of), (at + len(a) - 1, of + len(b) - 1)]
+    once = [(a.index(x), j) for j, x in enumerate(b) if a.count(x) == b.count(x) == 1]
+    piles, under = [], {}
+    for card in once:
+        k = next((k for k, p in enumerate(piles) if p[-1][0] > card[0]), len(piles))
+        under[card] = piles[k - 1][-1] if k else None
+        piles[k : k + 1] = [[*(piles[k] if k < len(piles) else []), card]]
+    chosen, card = [], piles[-1][-1] if piles else None
+    while card:
+        chosen.insert(0, card)
+        card = under[card]
+    out, i0, j0 = [], 0, 0
+    for i, j in [*chosen, (len(a), len(b))] if chosen else []:
+        out += textbook_diff(a[i0:i], b[j0:j], at + i0, of + j0)
+        out += [(at + i, of + j)] * (i < len(a))
+        i0, j0 = i + 1, j + 1
+    return out
+
+
+def textbook_lines(t):
+    return [x.strip() for x in (t or "").split("\n") if x.strip()]
+
+
+def taken(mine, theirs, least):
+    """Places of ``mine`` in blocks of ``least`` characters that both have."""
+    gone, block = set(), []
+    for i, j in [*sorted(textbook_diff(mine, theirs)), (None, None)]:
+        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+            if sum(len(mine[k]) for k, _ in block) >= least:
+                gone |= {k for k, _ in block}
+            block = []
+        block.append((i, j))
+    return gone
+
+
+def plain_line_dedup(rows, rare, least):
+    """Rows (doc_id, n_lines, n_deleted, text)."""
+    docs = [(i, textbook_lines(t)) for i, t in rows if i is not None and t is not None]
+    holders, kinds = {}, {}
+    for i, lines in docs:
+        for x in set(lines):
+            holders.setdefault(x, set()).add(i)
+    kind = lambda lines: re.sub("(0,)+", "0,", "".join(f"{hash(x)}," if len(holders[x]) > 1 else "0," for x in lines))
+    for _, lines in docs:
+        for x in set(lines):
+            kinds.setdefault(x, set()).add(kind(lines))
+    out = Counter()
     for i, t in rows:
-        if i is None:
-            want[None, len(linededup.text_lines(t or "")), 0, t] += 1
-    assert got == want
+        mine = textbook_lines(t)
+        gone = set()
+        if i is not None:
+            for j, theirs in docs:
+                if j < i and (kind(mine) == kind(theirs) or any(len(kinds[x]) <= rare for x in set(mine) & set(theirs))):
+                    gone |= taken(mine, theirs, least)
+            gone |= {k for k, x in enumerate(mine) if len(kinds[x]) > rare and min(holders[x]) < i and len(x) >= least}
+        raw = [] if t is None else t.split("\n")
+        full = [k for k, x in enumerate(raw) if x.strip()]
+        drop = {full[k] for k in gone}
+        out[i, len(full), len(gone), None if t is None else "\n".join(x for k, x in enumerate(raw) if k not in drop)] += 1
+    return out
+
+
+@pytest.mark.parametrize(("rare", "least"), [(1, 1), (3, 1), (16, 20), (1000, 1)])
+def test_line_dedup(docs, rare, least):
+    got = Counter(map(tuple, linededup.remove_common_lines(docs, rare=rare, least_chars=least).collect()))
+    assert got == plain_line_dedup(edge_rows(), rare, least)
+
+
+def test_diff_against_textbook():
+    import random
+
+    r = random.Random(4)
+    for _ in range(500):
+        a, b = ([r.randrange(7) for _ in range(r.randrange(12))] for _ in range(2))
+        blocks = linededup.common_blocks(a, b)
+        assert sorted((i + k, j + k) for i, j, n in blocks for k in range(n)) == sorted(textbook_diff(a, b)), (a, b)
+
+
+def test_copy_goes_though_a_document_between_scatters_its_lines(spark):
+    lines = [prose(60 + k, 4) for k in range(3)]
+    rows = [(1, "\n".join(lines)), (2, f"own a\n{lines[2]}\nown b\n{lines[0]}\nown c\n{lines[1]}"), (3, "\n".join(lines))]
+    got = {r["doc_id"]: r["n_deleted"] for r in linededup.remove_common_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), least_chars=40).collect()}
+    assert got == {1: 0, 2: 0, 3: 3}
+
+
+def test_line_dedup_of_its_own_output(spark, docs):
+    once = linededup.without_common_lines(docs)
+    twice = linededup.without_common_lines(once)
+    assert twice.columns == once.columns
+    want = plain_line_dedup([(r["doc_id"], r["text"]) for r in once.collect()], 16, 1)
+    assert Counter((r["doc_id"], r["__n_lines"], r["__n_deleted"], r["text"]) for r in twice.collect()) == want
+    odd = docs.withColumnsRenamed({"id": "__id", "h": "__h", "n": "__gone", "key": "__id0"})
+    assert linededup.without_common_lines(odd).columns == [*odd.columns, "__n_lines", "__n_deleted"]
+    assert linededup.without_common_lines(odd).count() == docs.count()
 
 
 def test_patience_blocks():
@@ -165,23 +240,10 @@ def test_empty_tables(spark, no_docs):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
 
-def all_holders(rows, least):
-    """Each document against every earlier one."""
-    want = Counter()
-    for i, t in rows:
-        lines, gone = linededup.text_lines(t or ""), set()
-        for j, u in rows:
-            if i is not None and j is not None and j < i:
-                for a, _, n in linededup.common_blocks(lines, linededup.text_lines(u or "")):
-                    if sum(map(len, lines[a : a + n])) >= least:
-                        gone |= set(range(a, a + n))
-        want[i, len(lines), len(gone)] += 1
-    return want
-
-
-@pytest.mark.parametrize("least", [1, 20, 40])
-def test_line_dedup_aligns_all_holders(spark, least):
-    """Lines in crossing order or twice in their latest holder, or split over two, of which other holders have them in order."""
+@pytest.mark.parametrize("rare", [2, 5, 1000])
+@pytest.mark.parametrize("least", [1, 20])
+def test_line_dedup_of_mixed_lines(spark, rare, least):
+    """Lines in crossing order or twice in their holders, or split over two; ``rare`` 1000 aligns all pairs."""
     import random
 
     r = random.Random(8)
@@ -190,12 +252,12 @@ def test_line_dedup_aligns_all_holders(spark, least):
     rows = [(1, f"{one}\nown a\n{two}"), (2, f"{two}\nown b\n{one}"), (3, f"{one}\nown c\n{one}"), (4, f"own d\n{two}\nown e\n{two}"), (5, f"{one}\nown f\n{two}")]
     rows += [(r.randrange(6, 80), "\n".join(r.choice([*pool, f"own {k}", "own x", " "]) for _ in range(r.randrange(9)))) for k in range(150)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = linededup.remove_common_lines(docs, least_chars=least).select("doc_id", "n_lines", "n_deleted").collect()
-    assert Counter(map(tuple, got)) == all_holders(rows, least)
+    got = linededup.remove_common_lines(docs, rare=rare, least_chars=least).collect()
+    assert Counter(map(tuple, got)) == plain_line_dedup(rows, rare, least)
 
 
 def test_line_dedup_takes_short_lines(spark):
     """Blocks have no least size unless one is asked for."""
     rows = [(k, f"{prose(300 + k, 30)}\nAll rights reserved.\n{prose(400 + k, 30)}") for k in range(5)]
     got = linededup.remove_common_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_lines", "n_deleted").collect()
-    assert Counter(map(tuple, got)) == all_holders(rows, 1) == Counter([(k, 3, int(k > 0)) for k in range(5)])
+    assert Counter(map(tuple, got)) == Counter([(k, 3, int(k > 0)) for k in range(5)])
