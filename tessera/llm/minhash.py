@@ -1,8 +1,8 @@
 """Near-duplicate documents by MinHash with banding.
 
 Minima of many universal hash functions over a document's word shingles are
-banded into bucket keys. Documents that share a bucket are compared: first one
-bit of every minimum (a 128-bit signature), then the whole shingle sets. The links
+banded into bucket keys. Documents that share a bucket are compared: first two
+bits of every minimum (a 256-bit signature), then the whole shingle sets. The links
 that hold are merged by alternating large-star and small-star.
 
 Large groups stay linear. Equal sets are one node from the start. Each bucket
@@ -25,11 +25,22 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Tables, WordHashes, as_id, list_array, mix, odd_constants, slices
 from tessera.llm.components import connected_components
 
-BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+HASHES = 128
+MISS = 1e-7  # most probability that no band of a pair at the threshold agrees
 SMALL = 96  # members of a bucket whose pairs are all compared
 SKETCH = ("s0", "s1", "t0", "t1")  # two bits of each minimum
-SKETCH_MOST = 44  # of 128 minima; two sets at similarity 0.8 differ in 19 +- 4
+
+
+def band_rows(percent: int) -> int:
+    """The most minima a band can have while a pair at the threshold is missed with probability MISS at most: 4 at 80 percent, 5e-8."""
+    s = percent / 100
+    return next((r for r in (8, 6, 5, 4, 3, 2) if (1 - s**r) ** (HASHES // r) <= MISS), 1)
+
+
+def sketch_most(percent: int) -> int:
+    """Minima in whose two bits a pair at the threshold may differ: the mean and 6.2 standard deviations, 44 of 128 at 80 percent."""
+    p = 0.75 * (1 - percent / 100)
+    return min(HASHES, int(HASHES * p + 6.2 * (HASHES * p * (1 - p)) ** 0.5))
 
 
 class Shingler:
@@ -60,20 +71,21 @@ class Shingler:
             if end - at >= self.k:
                 out.append(np.unique(rolled[at : end - self.k + 1]))
             elif end > at:
-                out.append(np.array([xxhash.xxh3_64_intdigest(b"\0".join(words[at:end]), end - at)], np.uint64))
+                out.append(np.array([xxhash.xxh3_64_intdigest(b"".join(len(w).to_bytes(8, "big") + w for w in words[at:end]), end - at)], np.uint64))
             else:
                 out.append(np.empty(0, np.uint64))
             at = end
         return out
 
 
-def _signatures(words: int):
+def _signatures(words: int, rows: int):
+    n_bands = HASHES // rows
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("bands", pa.list_(pa.int64())), *((c, pa.int64()) for c in SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         a, b = odd_constants(HASHES, 11), odd_constants(HASHES, 13)
-        weights = odd_constants(ROWS, 17)
+        weights = odd_constants(rows, 17)
         shift = np.uint64(32)
         for batch in slices(batches, "text"):
             sets = shingler.sets(batch.column("text").to_pylist())
@@ -93,16 +105,16 @@ def _signatures(words: int):
                     np.add(work, b[k], out=work)
                     np.right_shift(work, shift, out=work)
                     minima[k] = np.minimum.reduceat(work, starts)
-            keys = np.zeros((len(has), BANDS), np.uint64)
-            for r in range(ROWS):
-                keys += mix(minima[r::ROWS].T + weights[r]) * weights[r]
+            keys = np.zeros((len(has), n_bands), np.uint64)
+            for r in range(rows):
+                keys += mix(minima[r : n_bands * rows : rows].T + weights[r]) * weights[r]
             mixed = mix(minima)
             sketch = np.zeros((len(sets), 4), np.int64)
             if len(has):
                 for bit in (0, 1):
                     bits = (mixed >> np.uint64(bit) & np.uint64(1)).astype(np.uint8)
                     sketch[has, 2 * bit : 2 * bit + 2] = np.packbits(bits, axis=0).T.copy().view(np.int64)
-            bands = list_array(mix(keys).view(np.int64).ravel(), np.where(sizes > 0, BANDS, 0), pa.int64())
+            bands = list_array(mix(keys).view(np.int64).ravel(), np.where(sizes > 0, n_bands, 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(low), pa.array(high), bands, *(pa.array(sketch[:, j].copy()) for j in range(4))], schema=schema)
 
     return run
@@ -149,15 +161,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_id is the least doc_id that can be reached, kept marks the row that
     bears it. Rows that repeat a doc_id count as one document for the links of
     all. A row without doc_id keeps null as its component, is kept, and links with
-    nothing. Other columns are not read.
+    nothing. Other columns are not read. A text is read whole, by one task, however long.
+    Bands and signatures follow ``percent`` (1 to 100): a link at the threshold is missed with
+    a probability of at most MISS by the bands (but under 13 percent, where single minima are the bands), one above it with less.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be 1 to 100, not {percent}")
     spark = docs.sparkSession
     tables = Tables(spark)
     texts = docs.select(as_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sigs = tables.write(texts.mapInArrow(_signatures(words), "id bigint, n bigint, d0 bigint, d1 bigint, bands array<bigint>, s0 bigint, s1 bigint, t0 bigint, t1 bigint"), "signatures")
+    sigs = tables.write(texts.mapInArrow(_signatures(words, band_rows(percent)), "id bigint, n bigint, d0 bigint, d1 bigint, bands array<bigint>, s0 bigint, s1 bigint, t0 bigint, t1 bigint"), "signatures")
     known = sigs.where("id is not null and n > 0")
     classes = tables.write(known.groupBy("d0", "d1").agg(F.min("id").alias("rep")), "classes")
-    reps = known.join(classes.withColumnRenamed("rep", "id"), ["d0", "d1", "id"], "left_semi").where("n > 1")
+    reps = known.join(classes.withColumnRenamed("rep", "id"), ["d0", "d1", "id"], "left_semi").where(f"100 * n >= {percent} * (n + 1)")
     banded = reps.select("id", "n", *SKETCH, F.posexplode("bands").alias("band", "key"))
     buckets = tables.write(banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     members = tables.write(banded.join(buckets, ["band", "key"]), "members")
@@ -184,7 +200,7 @@ def _alike(other: str, percent: int, own: str = "") -> str:
     """Condition: sizes and signatures allow a link."""
     a = f"{own}." if own else ""
     differ = " + ".join(f"bit_count(({a}s{j} ^ {other}.s{j}) | ({a}t{j} ^ {other}.t{j}))" for j in (0, 1))
-    return f"{differ} <= {SKETCH_MOST} and 100 * least({a}n, {other}.n) >= {percent} * greatest({a}n, {other}.n)"
+    return f"{differ} <= {sketch_most(percent)} and 100 * least({a}n, {other}.n) >= {percent} * greatest({a}n, {other}.n)"
 
 
 def _centred(members: DataFrame, tables: Tables) -> DataFrame:
@@ -212,10 +228,12 @@ def _remaining(left: DataFrame, sets: DataFrame, percent: int, tables: Tables) -
     needs 4/9 (n_r + n_m) common shingles (at 80 percent), so it either fits into
     min(x_r, x_m), for which both need x >= 0.8 n, or r and m share an extra. The
     latter are joined by the first extras in order of hash, as many as a link may
-    leave out. So a large group of copies, or of texts around one passage, never meets in all pairs.
+    leave out. One of the two is not of the centre's own component, so members of that are held only
+    against the others: a large group of copies, or of texts around one passage, never meets in all pairs.
     """
     pair = (F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
-    differ = f"a.id < b.id and a.component <> b.component and {_alike('b', percent, 'a')}"
+    apart = f"a.component <> b.component and {_alike('b', percent, 'a')}"
+    differ = f"a.id < b.id and {apart}"
     plain = left.select("band", "key", "members", "id", "n", *SKETCH, "component")
     small = plain.where(f"members <= {SMALL}")
     near = small.alias("a").join(small.alias("b"), F.expr(f"a.band = b.band and a.key = b.key and {differ}")).select(*pair)
@@ -225,9 +243,13 @@ def _remaining(left: DataFrame, sets: DataFrame, percent: int, tables: Tables) -
     most = f"int(n * {100 - percent} div 100) + 1"
     extras = F.expr(f"slice(sort_array(array_except(su, sv)), 1, {most})")
     groups = tables.write(both.select(F.col("v").alias("centre"), F.col("u").alias("id"), "n", *SKETCH, "component", F.col("common").alias("x"), extras.alias("extras")), "grouped")
+    own = groups.where("id = centre").select("centre", F.col("component").alias("main"))
+    stranger = F.expr("component <> main")
     within = groups.drop("extras").where(f"100 * x >= {percent} * n")
     fits = f"{100 + percent} * least(a.x, b.x) >= {percent} * (a.n + b.n)"
-    inside = within.alias("a").join(within.alias("b"), F.expr(f"a.centre = b.centre and {fits} and {differ}")).select(*pair)
+    strangers = within.join(own, "centre").where(stranger)
+    inside = strangers.alias("a").join(within.alias("b"), F.expr(f"a.centre = b.centre and {fits} and {apart}")).select(*pair)
     beyond = groups.select("centre", "id", "n", *SKETCH, "component", F.explode("extras").alias("extra"))
-    shared = beyond.alias("a").join(beyond.alias("b"), F.expr(f"a.centre = b.centre and a.extra = b.extra and {differ}")).select(*pair)
+    strangers = beyond.join(own, "centre").where(stranger)
+    shared = strangers.alias("a").join(beyond.alias("b"), F.expr(f"a.centre = b.centre and a.extra = b.extra and {apart}")).select(*pair)
     return near.union(inside).union(shared)
