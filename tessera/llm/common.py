@@ -125,6 +125,30 @@ def free_names(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+class TwoHashes(dict):
+    """Words (bytes) to two independent 64-bit hashes; forgets everything between calls once it has ``most`` words."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+        self.tables = np.empty((2, 1 << 16), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        if k == self.tables.shape[1]:
+            self.tables = np.concatenate((self.tables, np.empty_like(self.tables)), axis=1)
+        both = xxhash.xxh3_128_intdigest(word)
+        self.tables[0, k], self.tables[1, k] = both & (1 << 64) - 1, both >> 64
+        return k
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """An array with a row for each of the two hashes."""
+        if len(self) >= self.most:
+            self.clear()
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.tables[:, places]
+
+
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; forgets everything when it has ``most`` words."""
 

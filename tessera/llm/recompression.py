@@ -1,8 +1,9 @@
 """Exact removal of long repeats by recompression.
 
-Every document is rewritten in rounds, as in Jez's recompression: a round first
-names maximal runs of one symbol and then, with the alphabet split in two by a bit of
-each symbol, names every pair of a left and a right symbol. A name is a 64-bit
+Every document is rewritten in rounds, as in Jez's recompression: the first round
+names maximal runs of one symbol, and each round, with the alphabet split in two by a bit of
+each symbol, names every pair of a left and a right symbol. (Runs in later rounds would make
+every symbol depend on its neighbours' words, and few would then fit into a window.) A name is a 64-bit
 function of what it replaces, so all tasks name alike, without an exchange. Equal
 substrings therefore carry the same symbols in their interior. Beside its span, each
 symbol keeps the words on which its forming depended; where those lie within a window
@@ -10,7 +11,7 @@ of ``window`` words, the symbol occurs wherever that window does.
 
 A Spark aggregation then finds the symbols that occur twice. A window that holds
 a symbol seen only once cannot repeat; the windows left over are verified by a
-128-bit hash of all their words, again by a distributed aggregation. Symbols decide
+128-bit hash of all their words, from two independent hashes of each word, again by a distributed aggregation. Symbols decide
 only what is verified, so the result is exact up to collisions of those 128 bits.
 """
 
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tables, WordHashes, as_id, mix, odd_constants, slices
+from tessera.llm.common import Tables, TwoHashes, as_id, mix, odd_constants, slices
 
 ROUNDS = 6
 RUN_ROUNDS = (0,)
@@ -75,11 +76,12 @@ def parse(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
 class Chunk:
     """The words of some documents, one after another."""
 
-    def __init__(self, packed: bytes, lengths: bytes, cache: WordHashes, window: int):
+    def __init__(self, packed: bytes, lengths: bytes, cache: TwoHashes, window: int):
         self.words = unpack(packed, lengths)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.window = window
-        self.hashes = cache.of([w for doc in self.words for w in doc])
+        self.both = cache.of([w for doc in self.words for w in doc])
+        self.hashes = self.both[0]
         self.doc = np.repeat(np.arange(len(self.words)), self.sizes)
         n = max(0, len(self.hashes) - window + 1)
         self.starts = np.flatnonzero(self.doc[:n] == self.doc[window - 1 :]) if n else np.empty(0, np.int64)
@@ -101,8 +103,8 @@ class Chunk:
     def keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of the words of each window."""
         out = []
-        for base in BASES:
-            h = mix(self.hashes + base)
+        for base, hashes in zip(BASES, self.both, strict=True):
+            h = mix(hashes + base)
             with np.errstate(over="ignore"):
                 total = h[starts] if len(starts) else np.empty(0, np.uint64)
                 for j in range(1, self.window):
@@ -189,7 +191,7 @@ def _ask_symbols(window: int, buckets: int):
     schema = pa.schema([("chunk", pa.int64()), ("blocks", _block_type())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = TwoHashes()
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk(batch.column("packed")[i].as_py(), batch.column("lengths")[i].as_py(), cache, window)
@@ -203,7 +205,7 @@ def _ask_windows(window: int, buckets: int, then: int):
     schema = pa.schema([("chunk", pa.int64()), ("blocks", _block_type()), ("starts", pa.binary()), ("inverse", pa.binary()), ("twice", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = TwoHashes()
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk(batch.column("packed")[i].as_py(), batch.column("lengths")[i].as_py(), cache, window)
