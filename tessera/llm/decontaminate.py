@@ -88,10 +88,10 @@ class Pattern:
 class Matcher:
     """Finds many items in a text at once."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, Pattern(t, int(rate * len(t)) if len(t) >= least else 0)) for i, t in items]
+        self.items = [(i, Pattern(t, int(rate * len(t)))) for i, t in items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, p) in enumerate(self.items):
             k = p.budget + 1
@@ -153,14 +153,14 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.08, least: int = 25) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.08) -> DataFrame:
     """(doc_id, item_id, distance, start, end): a row for each document row and item that occurs in it.
 
     An item occurs where the document comes within floor(rate * length) edits of it, case and
-    kind of white space aside; items of under ``least`` characters must occur exactly. ``distance``
+    kind of white space aside, whatever its length. ``distance``
     is the least found around intact pieces, ``start`` and ``end`` are character positions in
     the text of the earliest match with it. Items that are null, empty, or have
-    no id are skipped, as are null texts; repeated items and rows give rows of their own. Other
+    no id are skipped, as are null texts, and an empty text holds none; a text is read whole, by one task, however long; repeated items and rows give rows of their own. Other
     columns are not read.
 
     Items are read in blocks of at most 4 MB of text, whatever their number; each block is an
@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
     def against(block: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate, least)
+            matcher = Matcher(block, rate)
             for batch in slices(batches, "text"):
                 rows = [(i, *m) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in matcher.matches(t)]
                 if rows:

@@ -52,8 +52,9 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     r = random.Random(5)
     base = prose(9, 100).split()
     rows = []
-    for i in range(60):
-        w = list(base)
+    other = base[:70] + prose(10, 30).split()
+    for i in range(90):
+        w = list(base if i % 3 else other)
         for _ in range(r.choice([0, 1, 2, 4, 6, 9])):
             w[r.randrange(100)] = f"new{r.randrange(9)}"
         rows.append((i, " ".join(w[: r.choice([100, 100, 100, 85, 70])])))
@@ -62,6 +63,32 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert got == plain_components(rows, 4, 80)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 60, 70, 95, 100])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    import random
+
+    r = random.Random(percent)
+    rows = [(900, "solo"), (901, "solo solo"), (902, "x y z w"), (903, "x y z w v")]
+    for i in range(40):
+        base = prose(1000 + i, r.choice([6, 30, 90])).split()
+        cut = [w if r.random() > 0.3 * (1 - percent / 100) else "other" + str(r.randrange(9)) for w in base]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(cut[: r.randrange(len(cut) // 2, len(cut)) + 1] if i % 2 else cut))]
+    got = Counter(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=percent).collect()))
+    assert got == plain_components(rows, 3, percent)
+
+
+def test_thresholds():
+    assert (minhash.band_rows(80), minhash.sketch_most(80)) == (4, 44)
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(None, percent=0)
+
+
+def test_short_texts_are_told_apart(spark):
+    """A NUL is part of a word."""
+    got = [r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame([(1, "a\0b c"), (2, "a b\0c"), (3, "a b\0c ")], "doc_id bigint, text string"), words=4).orderBy("doc_id").collect()]
+    assert got == [1, 2, 2]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (None, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20), (1, 2)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint"), Tables(spark)).collect()))
@@ -208,18 +235,49 @@ def distance(a, b):
 def test_decontamination(spark):
     item = prose(30, 12)
     edited = item.replace("a", "A", 1)[:-3] + "x" + item[-3:]
-    rows = [(1, "before " + item + " after"), (2, prose(31, 60)), (3, edited.replace(" ", "\n")), (4, None), (5, ""), (6, item[: len(item) // 2]), (7, "aa tiny bb"), (1, item), (8, prose(32, 30) + item[:40] + "zz" + item[41:]), (None, item)]
-    items = [(1, item), (2, "tiny"), (3, None), (4, "  "), (None, item), (5, item)]
+    rows = [(9, "so short a pessage here"), (1, "before " + item + " after"), (2, prose(31, 60)), (3, edited.replace(" ", "\n")), (4, None), (5, ""), (6, item[: len(item) // 2]), (7, "aa tiny bb"), (1, item), (8, prose(32, 30) + item[:40] + "zz" + item[41:]), (None, item)]
+    items = [(18, "a short a passage"), (17, "short a passage"), (1, item), (2, "tiny"), (3, None), (4, "  "), (None, item), (5, item)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     found = decontaminate.contaminated(docs, bench).collect()
-    assert Counter((r[0], r[1]) for r in found) == Counter([(d, i) for d in (1, 1, 3, 8, None) for i in (1, 5)] + [(7, 2)])
+    assert Counter((r[0], r[1]) for r in found) == Counter([(d, i) for d in (1, 1, 3, 8, None) for i in (1, 5)] + [(7, 2), (9, 17)])
     for r in found:
         texts = [t for i, t in rows if i == r[0] and t]
         want = decontaminate.plain(dict((i, t) for i, t in items if i)[r[1]])
         assert any(distance(want, decontaminate.plain(t)[r[3] : r[4]]) == r[2] for t in texts)
 
 
+def least_distance(item, text):
+    """Of the item to any stretch of the text, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_every_item_that_occurs_is_found(spark):
+    """Items of 3 to 90 characters with 0 to one more edits than they may have, against the full table."""
+    import random
+
+    r = random.Random(11)
+    items = [(k, prose(600 + k, 14)[: r.choice([3, 9, 13, 20, 30, 60, 90])].strip()) for k in range(25)]
+    rows = []
+    for d in range(40):
+        parts = []
+        for _, item in r.sample(items, 3):
+            w = list(item)
+            for _ in range(r.randrange(int(0.08 * len(w)) + 2)):
+                at, what = r.randrange(len(w) + 1), r.choice(["", "x", "yz"])
+                w[at : at + r.randrange(2)] = what
+            parts += [prose(700 + d, 3), "".join(w).upper()]
+        rows.append((d, "\t".join(parts)))
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {(d, i): n for d, t in rows for i, p in items if (n := least_distance(decontaminate.plain(p), decontaminate.plain(t))) <= int(0.08 * len(p))}
+    assert {(x["doc_id"], x["item_id"]): x["distance"] for x in found} == want and len(found) == len(want)
+
+
 def test_myers_against_plain():
     import random
 
