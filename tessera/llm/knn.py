@@ -14,6 +14,7 @@ shuffled are packed blocks (queries x strips) and k rows a query and strip.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,20 +81,24 @@ class Best:
     def __init__(self, ids: np.ndarray, k: int):
         self.k = k
         self.floor = np.full(len(ids), -np.inf)
-        self.rows = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]  # (score, -id), the worst on top
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """A heap of k for every query: larger scores first, then smaller ids."""
-        query, ids, score = (np.concatenate(x) for x in zip(self.rows, (query, ids, score), strict=True))
-        order = np.lexsort((ids, -score, query))
-        query, ids, score = query[order], ids[order], score[order]
-        starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.empty(0, np.int64)
-        sizes = np.diff(np.append(starts, len(query)))
-        rank = np.arange(len(query)) - np.repeat(starts, sizes)
-        full = sizes >= self.k
-        self.floor[query[starts[full]]] = score[starts[full] + self.k - 1]
-        keep = rank < self.k
-        self.rows = query[keep], ids[keep], score[keep]
+        """Larger scores are better, then smaller ids."""
+        for q, item in zip(query.tolist(), zip(score.tolist(), (-ids).tolist(), strict=True), strict=True):
+            heap = self.heaps[q]
+            if len(heap) < self.k:
+                heapq.heappush(heap, item)
+            elif item > heap[0]:
+                heapq.heapreplace(heap, item)
+            if len(heap) == self.k:
+                self.floor[q] = heap[0][0]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of all that the heaps hold."""
+        found = [(q, -minus, score) for q, heap in enumerate(self.heaps) for score, minus in heap]
+        query, ids, score = zip(*found, strict=True) if found else ((), (), ())
+        return np.array(query, np.int64), np.array(ids, np.int64), np.array(score, np.float64)
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,7 +153,7 @@ def _search(k: int):
             best = Best(mine[0], k)
             for j in range(candidates.num_rows):
                 search_tile(mine, _unpacked(candidates, j), best)
-            query, ids, score = best.rows
+            query, ids, score = best.rows()
             out.append(pa.table({"query_id": mine[0][query], "vec_id": ids, "score": score}))
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.concat_tables([empty, *out])
