@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Tables, as_id, scratch_path, slices
 
 BLOCK_LINES = 3000
+RANGE_BYTES, RANGE_ROWS = 8 << 20, 4000
 ARCHIVE_BYTES = 256 << 20
 SEPARATOR = "\x01"
 DATE = "2024-01-01T00:00:00Z"
@@ -51,14 +52,17 @@ def sha1_base32(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
-    """One gzip member with a response, or a revisit of the response of page ``refers_to``."""
+    """One gzip member with a response, or a revisit of the response of page ``refers_to``.
+
+    Record ids are random and so unique; the pages' own ids go in extension fields.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     kind = "response" if refers_to is None else "revisit"
     block = http + payload if refers_to is None else http
     uri = re.sub(r"[\r\n]+", " ", url)
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{'none' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", "Content-Type: application/http; msgtype=response"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"X-Page-ID: {'none' if page_id is None else page_id}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
     head = "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode()
     return gzip.compress(head + block + b"\r\n\r\n", 5, mtime=0)
 
@@ -210,9 +214,15 @@ class CaptureIndex:
 READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def _page(urn: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:x-page:(-?\d+)>", urn or "")
-    return int(m[1]) if m else None
+def _page(number: str | None) -> int | None:
+    return int(number) if number not in (None, "none") else None
+
+
+def _by_key(captures: DataFrame) -> DataFrame:
+    """Captures in ranges of their keys, one for every RANGE_BYTES of records (or RANGE_ROWS captures where sizes aren't known), however short the keys."""
+    total = F.sum("size") / RANGE_BYTES if "size" in captures.columns else F.count("*") / RANGE_ROWS
+    n = int(captures.agg(total.cast("long")).first()[0] or 0) + 1
+    return captures.repartitionByRange(n, "key").sortWithinPartitions("key")
 
 
 def _read(directory: str):
@@ -232,7 +242,7 @@ def _read(directory: str):
                         digest = sha1_base32(r["payload"]) if whole else r["warc-payload-digest"].removeprefix("sha1:")
                         if whole and (length != len(r["payload"]) or r["warc-payload-digest"] != f"sha1:{digest}"):
                             raise ValueError(f"damaged record at {uri}:{start}")
-                        rows.append((_page(r["warc-record-id"]), r["warc-target-uri"], length, digest, r["warc-type"], _page(r.get("warc-refers-to")), r["payload"] if whole else None))
+                        rows.append((_page(r["x-page-id"]), r["warc-target-uri"], length, digest, r["warc-type"], _page(r.get("x-refers-to-page-id")), r["payload"] if whole else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), READ.types, strict=True)], schema=READ)
             index.files.close()
@@ -260,7 +270,8 @@ class Archive:
         Keys are sorted into ranges, so a task reads few blocks of the index. A revisit
         has no payload; its bytes and digest are those of the payload that it saw.
         """
-        wanted = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+        own = keys.groupBy("key").agg(F.max("size").alias("size")) if "size" in keys.columns else keys.select("key").distinct()
+        wanted = _by_key(own).select("key")
         return wanted.mapInArrow(_read(self.directory), "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
 
 
@@ -288,6 +299,6 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     keepers = tables.write(seen.where("n > 1 and digest is not null").drop("n"), "keepers")
     written = own.join(keepers, "digest", "left").select("id", "url", "html", "keeper")
     captures = tables.write(written.mapInArrow(_write(f"{folder}/archive"), "key string, page_id bigint, uri string, start bigint, size bigint"), "captures")
-    lines = captures.select("key", "uri", "start", "size").repartitionByRange("key").sortWithinPartitions("key")
+    lines = _by_key(captures.select("key", "uri", "start", "size"))
     lines.mapInArrow(_index(f"{folder}/index", BLOCK_LINES), "first string, last string, uri string, start bigint, size bigint, n bigint").write.parquet(f"{folder}/directory")
     return Archive(spark, folder), captures
