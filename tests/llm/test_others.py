@@ -69,6 +69,19 @@ def test_pieces_equal_the_library(spark):
     assert encoded.count() == docs.count() and spm.encode(docs.limit(0), model).collect() == []
 
 
+def test_cuts_of_long_parts_change_nothing():
+    import random
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    encoder = spm.Encoder(spm.Vocabulary(open(TOKENIZER, "rb").read()))
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefgheinst漢字仮名éüß🙂0123456789+/=") for _ in range(r.choice([401, 900, 3000]))) for _ in range(12)] + ["漢" * 2000, "the" * 700]
+    ids, sizes, same = encoder.encode(texts)
+    assert [ids[j - n : j].tolist() for n, j in zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)] == [sp.encode(t) for t in texts] and all(same)
+    assert max(map(len, encoder.v.cut("漢字仮名" * 100))) < 5
+
+
 def test_long_parts_merge_alike():
     v = spm.Vocabulary(open(TOKENIZER, "rb").read())
     text = "▁" + "thequickbrownfox" * 60
@@ -179,7 +192,7 @@ def test_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(ORACLE[name])
     names = sorted(want.columns)
