@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import os
 import resource
 import subprocess
@@ -85,8 +86,43 @@ def code_stats(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(list(code.map(program_stats)), index=code.index)
 
 
+class _Shown(ast.NodeTransformer):
+    """print(x) within a loop appends x to a list, elsewhere it sets a variable."""
+
+    def __init__(self, name: str, listed: bool):
+        self.name, self.listed, self.found = name, listed, 0
+
+    def visit_Expr(self, node: ast.Expr) -> ast.AST:
+        call = node.value
+        if not (isinstance(call, ast.Call) and isinstance(call.func, ast.Name) and call.func.id == "print" and len(call.args) == 1 and not call.keywords):
+            return node
+        self.found += 1
+        place = ast.Name(self.name, ast.Load())
+        if self.listed:
+            return ast.Expr(ast.Call(ast.Attribute(place, "append", ast.Load()), call.args, []))
+        return ast.Assign([ast.Name(self.name, ast.Store())], call.args[0], lineno=node.lineno)
+
+
+def accumulated(source: str, name: str) -> tuple[list[str], str] | None:
+    """(statements, expression): a loop or condition whose prints are gathered in ``name``; None if it is neither or prints nothing."""
+    try:
+        tree = ast.parse(source)
+    except SyntaxError:
+        return None
+    if len(tree.body) != 1 or not isinstance(tree.body[0], (ast.For, ast.While, ast.If)):
+        return None
+    listed = not isinstance(tree.body[0], ast.If)
+    shown = _Shown(name, listed)
+    node = ast.fix_missing_locations(shown.visit(tree.body[0]))
+    return ([f"{name} = {'[]' if listed else 'None'}", ast.unparse(node)], name) if shown.found else None
+
+
 def doctest_snippets(text: str | None) -> list[dict]:
-    """Prompts of an interactive session: what ran before, the code, and the result that is shown; print(x) becomes x."""
+    """Prompts of an interactive session: what ran before, the code, and the result that is shown.
+
+    print(x) becomes x; a loop or condition that prints becomes statements of the context that gather what it prints in
+    out_0, out_1 ..., and that name becomes the code.
+    """
     out, context, code, result, start, at = [], [], [], [], 0, 0
 
     def end():
@@ -94,6 +130,9 @@ def doctest_snippets(text: str | None) -> list[dict]:
             source = "\n".join(code)
             shown = "\n".join(result)
             if shown:
+                if gathered := accumulated(source, f"out_{len(out)}"):
+                    context.extend(gathered[0])
+                    source = gathered[1]
                 try:
                     tree = ast.parse(source)
                     last = tree.body[-1].value if tree.body and isinstance(tree.body[-1], ast.Expr) else None
@@ -158,11 +197,22 @@ def backward_slice(code: str, names: set[str]) -> str:
     return "\n".join(reversed(kept))
 
 
-def as_function(context: str, code: str, inputs: dict[str, str]) -> str:
-    """A sample as ``solution(...)`` of the inputs, with its context inside."""
-    body = [ln for ln in context.split("\n") if ln.strip() and not any(ln.startswith(f"{n} =") for n in inputs)]
-    lines = [f"def solution({', '.join(inputs)}):", *(f"    {x}" for x in body), f"    return {code}"]
-    return "\n".join(lines)
+def sample_functions(context: str, body: str, returns: list[str]) -> dict:
+    """A sample as two functions: get_inputs_from_context() gives the inputs as a dict, solution(...) takes them.
+
+    Inputs are the names that the body and the returned expressions read and the context binds, in order of their
+    binding; imports of the context stand apart.
+    """
+    rows = definitions_and_uses(context) if context.strip() else []
+    imports = [r["code"] for r in rows if r["code"].startswith(("import ", "from "))]
+    given = [r for r in rows if r["code"] not in imports]
+    read = {n.id for n in ast.walk(ast.parse("\n".join([body, *returns]))) if isinstance(n, ast.Name)}
+    inputs = list(dict.fromkeys(n for r in given for n in r["defines"] if n in read))
+    inside = lambda code: ["    " + line for line in code.split("\n") if line.strip()]
+    lines = [x for r in given for x in inside(r["code"])]
+    before = ["def get_inputs_from_context():", *lines, f"    return dict({', '.join(f'{n}={n}' for n in inputs)})"]
+    target = [f"def solution({', '.join(inputs)}):", *inside(body), f"    return {', '.join(returns)}"]
+    return {"target": "\n".join(target), "inputs": inputs, "context": "\n".join(before), "imports": imports}
 
 
 def harness(program: str, statement: str) -> str:
@@ -193,6 +243,112 @@ else:
 """
 
 
+VALUES = """
+import contextlib, io, json, sys
+given = json.loads(sys.stdin.read())
+out, err, found, scope = io.StringIO(), io.StringIO(), {}, {"__name__": "__main__"}
+with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+    try:
+        for line in given["context"]:
+            exec(line, scope)
+        for k, line in enumerate(given["code"]):
+            value = eval(line, scope)
+            found["OUT_%d" % k] = {"val": repr(value), "type": type(value).__name__}
+    except BaseException as e:
+        found["ERROR"] = type(e).__name__ + ": " + str(e)[:500]
+print("\\x1e" + json.dumps(found | {"STDOUT": out.getvalue()[:10000], "STDERR": err.getvalue()[:10000]}), file=sys.__stderr__)
+"""
+
+
+def returned_values(code: list[str], context: list[str], seconds: float = 3.0, megabytes: int = 512) -> dict:
+    """What expressions give after the statements of a context: OUT_0 ... with val (its repr) and type, STDOUT, STDERR, and ERROR if one failed.
+
+    Runs in a child process with the limits of ``execute``.
+    """
+    with tempfile.TemporaryDirectory() as folder:
+        try:
+            done = subprocess.run(
+                [sys.executable, "-I", "-c", VALUES], input=json.dumps({"code": code, "context": context}), capture_output=True, text=True, timeout=seconds, cwd=folder, env={"PATH": os.defpath}, preexec_fn=_limits(seconds, megabytes)
+            )
+        except subprocess.TimeoutExpired:
+            return {"ERROR": "Timed Out", "STDOUT": "", "STDERR": ""}
+    says = done.stderr.rpartition("\x1e")[2]
+    return json.loads(says) if "\x1e" in done.stderr else {"ERROR": "Killed", "STDOUT": "", "STDERR": ""}
+
+
+def sample_passes(context: list[str], code: list[str], expected: list[str]) -> bool:
+    """Whether every expression gives what is expected, by its repr or, for strings, its text."""
+    got = returned_values(code, context)
+    if "ERROR" in got or len(code) != len(expected):
+        return False
+    return all(want in (got[f"OUT_{k}"]["val"], got[f"OUT_{k}"]["val"][1:-1] if got[f"OUT_{k}"]["type"] == "str" else None) for k, want in enumerate(expected))
+
+
+SAMPLES = "section_id int, idx int, snippet_idx int, context array<string>, code string, expected string, passed boolean, error string"
+
+
+def section_samples(rows: list[dict], global_context: list[str], overrides: dict[int, set[int]] | None = None, enabled: bool = False) -> list[dict]:
+    """Code samples of a page's sections: each snippet with the context of its section so far.
+
+    ``rows`` are section rows in order; a section's context starts with ``global_context`` and takes the statements of its
+    code blocks one after another. If ``enabled``, each sample runs: one that fails has its error, unless
+    ``overrides`` lists its block (section to idx), and its code still joins nothing.
+    """
+    contexts: dict[int, list[str]] = {}
+    out = []
+    for row in rows:
+        if row["tag"] != "code":
+            continue
+        context = contexts.setdefault(row["section_id"], list(global_context))
+        done: list[str] = []
+        for k, snippet in enumerate(doctest_snippets(row["text"] + "\n")):
+            before = [x for x in [snippet["context"]] if x]
+            own = context + [x for x in before if x not in done]
+            error, passed = None, None
+            if enabled:
+                got = returned_values([snippet["code"]], own)
+                error = got.get("ERROR")
+                passed = error is None and sample_passes(own, [snippet["code"]], [snippet["result"]])
+                if row["idx"] in (overrides or {}).get(row["section_id"], ()):
+                    error = None
+            done += before
+            out.append({"section_id": row["section_id"], "idx": row["idx"], "snippet_idx": k, "context": own, "code": snippet["code"], "expected": snippet["result"], "passed": passed, "error": error})
+        context += statements(row["text"])
+    return out
+
+
+def statements(session: str) -> list[str]:
+    """The inputs of an interactive session that bind or import; a text without prompts is taken whole."""
+    lines = session.split("\n")
+    if not any(x.strip().startswith(">>>") for x in lines):
+        return [session] if valid_syntax(session) else []
+    inputs: list[str] = []
+    for line in map(str.strip, lines):
+        if line.startswith(">>>"):
+            inputs.append(line[4:])
+        elif line.startswith("...") and inputs:
+            inputs[-1] += "\n" + line[4:]
+    keep = (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Import, ast.ImportFrom, ast.FunctionDef, ast.ClassDef, ast.For, ast.While, ast.With)
+    called = lambda n: isinstance(n, ast.Expr) and isinstance(n.value, ast.Call) and isinstance(n.value.func, ast.Attribute)  # noqa: E731  a method may change its object
+    return [x for x in inputs if valid_syntax(x) and all(isinstance(n, keep) or called(n) for n in ast.parse(x).body)]
+
+
+def code_samples(sections: DataFrame, doc: str, *, global_context: list[str] | None = None, enabled: bool = False) -> DataFrame:
+    """(doc, section_id, idx, snippet_idx, context, code, expected, passed, error) of section rows with a column ``doc``.
+
+    The rows of a document meet in one task; a document's own sections are needed together, and no more.
+    """
+    kind = sections.schema[doc].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("idx").to_dict("records")
+        found = section_samples(rows, global_context or [], enabled=enabled)
+        names = ["section_id", "idx", "snippet_idx", "context", "code", "expected", "passed", "error"]
+        return pd.DataFrame([{doc: pdf[doc].iloc[0], **f} for f in found], columns=[doc, *names])
+
+    return sections.select(doc, "section_id", "idx", "tag", "text").groupBy(doc).applyInPandas(run, f"`{doc}` {kind}, {SAMPLES}")
+
+
 def execute(program: str, seconds: float = 3.0, megabytes: int = 512) -> dict:
     """Run a program in a child process: Passed, Failed Tests, Timed Out, or the exception's name.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.vectorised import vectorised
+from tessera.registry import parsers
 
 BLOCKS = "array<struct<kind:string,text:string>>"
 SECTIONS = "array<struct<section_id:int,parent_id:int,id_str:string,title:string,idx:int,tag:string,text:string>>"
+SECTION = ("section_id", "parent_id", "id_str", "title", "idx", "tag", "text")
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -78,14 +81,18 @@ def blocks_text(blocks: Column, wrap=lambda text: text) -> Column:
     return F.array_join(F.filter(texts, lambda t: F.trim(t) != ""), "\n")
 
 
+SKIPPED = ("script", "style", "nav", "footer")
+
+
 class _Sections(HTMLParser):
     """Headings open sections; other blocks belong to the section that is open."""
 
     HEADINGS = {f"h{i}": i for i in range(1, 7)}
     LEAVES = {"p": "p", "pre": "code", "li": "p", "dt": "p", "dd": "p", "blockquote": "p", "td": "p", "th": "p"}
 
-    def __init__(self):
+    def __init__(self, skipped: tuple[str, ...] = SKIPPED, root: str = ""):
         super().__init__(convert_charrefs=True)
+        self.skip, self.root, self.inside = skipped, root, 0 if root else 1
         self.rows: list[tuple] = []
         self.path: list[tuple[int, int]] = []  # level, section
         self.count = self.idx = 0
@@ -93,20 +100,22 @@ class _Sections(HTMLParser):
         self.id_str, self.parts, self.skipped = "", [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "nav", "footer"):
+        if self.root and self.root in (dict(attrs).get("class") or "").split():
+            self.inside = 1
+        if tag in self.skip:
             self.skipped += 1
         elif tag in self.HEADINGS or tag in self.LEAVES:
             self._flush()
             self.leaf, self.id_str = tag, dict(attrs).get("id") or ""
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "nav", "footer"):
+        if tag in self.skip:
             self.skipped = max(0, self.skipped - 1)
         elif tag == self.leaf:
             self._flush()
 
     def handle_data(self, data):
-        if self.leaf and not self.skipped:
+        if self.leaf and self.inside and not self.skipped:
             self.parts.append(data)
 
     def _flush(self):
@@ -135,13 +144,33 @@ class _Sections(HTMLParser):
 
 def section_rows(html: str | None) -> list[tuple]:
     """(section_id, parent_id, id_str, title, idx, tag, text) of a page, sections numbered in order from 1."""
-    parser = _Sections()
+    return _section_rows(html)
+
+
+def _section_rows(html: str | None, **options) -> list[tuple]:
+    parser = _Sections(**options)
     parser.feed(html or "")
     parser.close()
     return parser.rows
 
 
+def section_parser(domain: str, **options) -> None:
+    """Register how pages of a domain are read: tags to skip, and the class of the element where the text begins."""
+    parsers.register(domain)(partial(_section_rows, **options))
+
+
+section_parser("default")
+section_parser("sphinx", root="body", skipped=(*SKIPPED, "aside", "form"))
+section_parser("wiki", root="mw-parser-output", skipped=(*SKIPPED, "table"))
+
+
 @vectorised(SECTIONS)
 def html_sections(html: pd.Series) -> pd.Series:
-    names = ("section_id", "parent_id", "id_str", "title", "idx", "tag", "text")
-    return html.map(lambda h: [dict(zip(names, r, strict=True)) for r in section_rows(h)])
+    return html.map(lambda h: [dict(zip(SECTION, r, strict=True)) for r in section_rows(h)])
+
+
+@vectorised(SECTIONS)
+def sections_of_domain(html: pd.Series, domain: pd.Series) -> pd.Series:
+    """Sections by the parser that is registered for each row's domain, or the default one."""
+    read = lambda h, d: parsers[d if d in parsers.items else "default"](h)
+    return pd.Series([[dict(zip(SECTION, r, strict=True)) for r in read(h, d)] for h, d in zip(html, domain, strict=True)], index=html.index)

@@ -12,6 +12,7 @@ from tessera.functions.vectorised import vectorised
 
 # Letters that Unicode does not decompose, in ASCII.
 LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "œ": "oe", "Œ": "OE", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L", "ı": "i", "đ": "d", "Đ": "D", "“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "…": "...", "€": "EUR", "£": "PS", "©": "(c)", "®": "(r)"}
+# Fixed value: what begins a new top-level statement after a completion.
 CODE_BREAK = r"\nclass|\ndef|\n#|\n@|\nprint|\nif"
 
 
@@ -59,10 +60,26 @@ def without_returns(text: Column) -> Column:
     return F.replace(text, F.lit("\r"), F.lit(""))
 
 
-def prompt_and_target(code: Column) -> tuple[Column, Column]:
-    """A program cut after the line of its last top-level "def", which ends the prompt."""
-    head = F.regexp_extract(code, r"(?s)^(.*?\n?def [^\n]*\n)", 1)
-    return head, F.substr(code, F.length(head) + 1)
+def prompt_and_target(code: Column, prompt: Column | None = None) -> tuple[Column, Column]:
+    """(prompt, target): what a program has up to its first "def " at the start of a line other than its first goes to the end of the prompt.
+
+    Without such a line the prompt stays as it is, and all of the program is the target.
+    """
+    head = F.regexp_extract(code, r"(?s)^(.*?\ndef )", 1)
+    return F.concat(F.lit("") if prompt is None else prompt, head), F.substr(code, F.length(head) + 1)
+
+
+def outcome_text(kind: Column, message: Column) -> tuple[Column, Column]:
+    """("Type: message", the type with _ for spaces); a null or empty message leaves the type."""
+    empty = F.coalesce(message, F.lit("")) == ""
+    return F.when(empty, kind).otherwise(F.concat(kind, F.lit(": "), message)), F.replace(kind, F.lit(" "), F.lit("_"))
+
+
+def function_name(calls: Column) -> Column:
+    """The name that all of some calls have: of the names before an opening bracket (without what follows a dot), in order of the alphabet, the first that each call contains; null if there is none."""
+    heads = F.flatten(F.transform(calls, lambda c: F.transform(F.split(c, r"\("), lambda part: F.substring_index(F.substring_index(part, " ", -1), ".", 1))))
+    names = F.array_sort(F.array_distinct(F.filter(heads, lambda n: F.rlike(n, F.lit(r"^[A-Za-z_]\w*$")))))
+    return F.try_element_at(F.filter(names, lambda n: F.forall(calls, lambda c: F.contains(c, n))), F.lit(1))
 
 
 def comment(text: Column, style: str) -> Column:

@@ -68,3 +68,30 @@ def where_any(df: DataFrame, *conditions: Column) -> DataFrame:
     for c in conditions:
         some = some | F.coalesce(c, F.lit(False))
     return df.where(some)
+
+
+def skip_listed(df: DataFrame, column: str, *values: str) -> DataFrame:
+    """Rows whose value is none of some listed ones; null is none of them."""
+    return df.where(~F.coalesce(F.col(column).isin(*values), F.lit(False))) if values else df
+
+
+def without_mark(df: DataFrame, column: str, mark: str = "OLD_") -> DataFrame:
+    """Rows whose text doesn't hold ``mark``."""
+    return df.where(~F.contains(F.coalesce(F.col(column), F.lit("")), F.lit(mark)))
+
+
+def join_as_text(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """An inner join on keys of any types, compared as text; the right key goes."""
+    other = right.withColumn("__key", F.col(right_key).cast("string")).drop(right_key)
+    return left.join(other, F.col(left_key).cast("string") == F.col("__key")).drop("__key")
+
+
+def join_unique(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``df`` joined to ``names`` by key; a key that ``names`` has twice fails the job.
+
+    Rows are counted before they are brought together by key, so that a repeated key shows.
+    """
+    rest = [c for c in names.columns if c != key]
+    one = names.groupBy(key).agg(F.count("*").alias("__n"), F.first(F.struct(*rest)).alias("__r"))
+    checked = F.when(F.col("__n") == 1, F.col("__r")).otherwise(F.raise_error(F.concat(F.lit("repeated: "), F.col(key).cast("string"))))
+    return df.join(one.withColumn("__r", checked), key).select(*df.columns, "__r.*")

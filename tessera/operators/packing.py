@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import place
+from tessera.operators.sampling import draw
+
 
 def whitespace_tokens(text: Column) -> Column:
     """The words of a text; none for an empty one."""
@@ -21,11 +24,12 @@ def with_offsets(df: DataFrame, order: str, size: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10000).alias("cuts"))
     # a single row of at most 4 * shuffle partitions numbers
-    placed = df.crossJoin(F.broadcast(cuts)).withColumn("__b", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts")
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("__b", place(F.col("cuts"), F.col(order), n)).drop("cuts")
     totals = placed.groupBy("__b").agg(F.sum(size).alias("__t"))
     before = totals.select("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     own = F.coalesce(F.sum(size).over(Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("__own", own).join(before, "__b").withColumn("offset", (F.col("__base") + F.col("__own")).cast("long")).drop("__b", "__own", "__base")
+    # a row for each bucket
+    return placed.withColumn("__own", own).join(F.broadcast(before), "__b").withColumn("offset", (F.col("__base") + F.col("__own")).cast("long")).drop("__b", "__own", "__base")
 
 
 def packed(df: DataFrame, order: str, tokens: str, length: int) -> DataFrame:
@@ -73,6 +77,32 @@ def rank_shards(df: DataFrame, order: str, batch: int, ranks: int, drop_last: bo
     return placed.select((turn % ranks).cast("int").alias("rank"), F.floor(turn / ranks).cast("long").alias("batch"), (F.col("offset") % batch).cast("int").alias("place"), order)
 
 
+def block_shuffled(df: DataFrame, order: str, block: int, seed: int = 0) -> DataFrame:
+    """Adds ``place``: rows in order of a unique column, shuffled within blocks of ``block`` rows by draw."""
+    placed = with_offsets(df.withColumn("__one", F.lit(1)), order, "__one").drop("__one")
+    mine = Window.partitionBy("__block").orderBy(draw(F.col(order), seed), order)
+    placed = placed.withColumn("__block", F.floor(F.col("offset") / block))
+    return placed.withColumn("place", (F.col("__block") * block + F.row_number().over(mine) - 1).cast("long")).drop("__block", "offset")
+
+
+def packed_shuffled(df: DataFrame, order: str, tokens: str, length: int, block: int, seed: int = 0) -> DataFrame:
+    """As ``packed``, of rows shuffled within blocks."""
+    return packed(block_shuffled(df.select(order, tokens), order, block, seed), "place", tokens, length)
+
+
+def worker_slices(df: DataFrame, order: str, buffer: int, workers: int) -> DataFrame:
+    """Adds ``worker``: each buffer of rows, in order of a unique column, is cut into equal slices, one a worker; what is left over is the last one's."""
+    placed = with_offsets(df.withColumn("__one", F.lit(1)), order, "__one").drop("__one")
+    slice_ = max(1, buffer // workers)
+    return placed.withColumn("worker", F.least(F.floor(F.col("offset") % buffer / slice_), F.lit(workers - 1)).cast("int")).drop("offset")
+
+
+def side_by_side(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Rows of two tables joined by their place in the order of a unique column each; the longer one's rest has nulls."""
+    one = lambda d, order: with_offsets(d.withColumn("__one", F.lit(1)), order, "__one").drop("__one").withColumnRenamed("offset", "__place")
+    return one(left, left_order).join(one(right, right_order), "__place", "full").drop("__place")
+
+
 def token_totals(df: DataFrame, *columns: str) -> DataFrame:
     """The sums of tokens of some text columns, the number of rows, and the grand total."""
     sums = [F.sum(F.size(whitespace_tokens(F.col(c)))).cast("long").alias(f"{c}_tokens") for c in columns]

@@ -41,6 +41,23 @@ def align_answers(questions: DataFrame, answers: DataFrame, *, order: str = "lin
     return joined.withColumn("answers", F.coalesce("answers", F.array().cast(kind)))
 
 
+def tagged_answers(answers: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers with the tag_to_use of their question, the number that failed for each reason).
+
+    ``questions`` is an overview, with an id once; an answer without parent_id or whose question is missing fails and is dropped.
+    """
+    known = questions.select(F.col("id").alias("parent_id"), "tag_to_use", F.lit(True).alias("__known"))
+    both = answers.join(known, "parent_id", "left")
+    reason = F.when(F.col("parent_id").isNull(), "NO_PARENT").otherwise("NO_QUESTION")
+    failed = both.where("__known is null").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return both.where("__known").drop("__known"), failed
+
+
+def passed(posts: DataFrame) -> DataFrame:
+    """Questions and answers that passed all checks."""
+    return posts.where((F.col("result") == "PASS") & F.col("type").isin(QUESTION, ANSWER))
+
+
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Children whose parent is missing."""
     return children.join(parents, children[child_key] == parents[parent_key], "left_anti")

@@ -27,9 +27,10 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def train_val_split(df: DataFrame, key: str, *, max_val: int, share: float = 0.1, seed: int = 0) -> DataFrame:
-    """Adds ``split``: min(max_val, floor(share * rows)) rows are "val", the others "train"."""
-    n = min(max_val, int(share * df.count()))
-    val = df.select(key).orderBy(draw(F.col(key), seed), key).limit(n).withColumn("__val", F.lit(True))
+    """Adds ``split``: min(max_val, floor(share * rows)) of the keys are "val", the others "train"; rows that repeat a key stay together and count once."""
+    keys = df.select(key).distinct()
+    n = min(max_val, int(share * keys.count()))
+    val = keys.orderBy(draw(F.col(key), seed), key).limit(n).withColumn("__val", F.lit(True))
     return df.join(val, key, "left").withColumn("split", F.when(F.col("__val"), "val").otherwise("train")).drop("__val")
 
 
@@ -74,6 +75,17 @@ def until_too_long(items: Column, most: int) -> Column:
     return F.when(at > 0, F.slice(items, F.lit(1), (at - 1).cast("int"))).otherwise(items)
 
 
+def within_budget(items: Column, most: int) -> Column:
+    """The leading elements whose lengths together are at most ``most``."""
+    sums = F.transform(items, lambda _, i: F.aggregate(F.slice(items, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)))
+    return F.slice(items, F.lit(1), F.size(F.filter(sums, lambda n: n <= most)))
+
+
+def tap(df: DataFrame, key: str, n: int = 100) -> DataFrame:
+    """The first n rows by key, for a look at what a plan makes."""
+    return df.orderBy(key).limit(n)
+
+
 def batches(items: Column, size: int, drop_short: bool = False) -> Column:
     """An array in blocks of ``size``; the short last one goes if ``drop_short``."""
     n = F.size(items)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import exact_percentiles
+
 
 def tag_counts(df: DataFrame, tags: str = "tags") -> DataFrame:
     return df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
@@ -45,11 +47,13 @@ def by_global_count(df: DataFrame, key: str, tags: str = "tags") -> DataFrame:
 
 
 def prefix_rollup(df: DataFrame, value: str, tags: str = "tags") -> DataFrame:
-    """mean, median, population std and count of a value for every prefix of the tags, and for "all"."""
+    """mean, median, population std and count of a value for every prefix of the tags, and for "all", which meets in no task."""
     prefixes = F.transform(F.sequence(F.lit(1), F.size(tags)), lambda i: F.array_join(F.slice(F.col(tags), F.lit(1), i), ","))
     levels = F.when(F.size(tags) > 0, F.concat(F.array(F.lit("all")), prefixes)).otherwise(F.array(F.lit("all")))
     each = df.select(F.explode(levels).alias("level"), F.col(value).cast("double").alias("v"))
-    return each.groupBy("level").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("std"), F.count("v").alias("n"))
+    sums = each.groupBy("level").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("v").alias("n"))
+    medians = exact_percentiles(each, "v", [0.5], ["level"]).select("level", F.get("q", F.lit(0)).alias("median"))
+    return sums.join(medians, "level", "left").select("level", "mean", "median", "std", "n")
 
 
 def canonical(tags: Column, synonyms: Column) -> Column:

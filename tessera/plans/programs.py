@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import strings as S
 from tessera.operators import boolean_tests, filters, stats
-from tessera.plans.texts import TESTS, order_tests
+from tessera.plans.texts import CONTEXT, TESTS, context_pool, order_tests
 from tessera.registry import Catalogue
 from tessera.session import table
 from tessera.streaming.events import epochs
@@ -72,17 +72,10 @@ def generated_tests_attach(spark, sf_dir):
 
 @query("page_map_join", "SELECT p.page_id, m.pages FROM pages p JOIN (SELECT regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS path, count(*) AS pages FROM pages GROUP BY 1) m ON regexp_extract(p.url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) = m.path")
 def page_map_join(spark, sf_dir):
-    """Pages joined to a map by path; a path that the map has twice would be an error."""
+    """Pages joined to a map by path; a path that the map has twice is an error."""
     p = table(spark, sf_dir, "pages").select("page_id", F.coalesce(S.path(F.col("url")), F.lit("")).alias("path"))
     named = p.groupBy("path").agg(F.count("*").alias("pages"))
-    checked = named.withColumn("path", F.when(F.count("*").over(_by_path()) == 1, F.col("path")).otherwise(F.raise_error(F.lit("a page name repeats"))))
-    return p.join(checked, "path").select("page_id", "pages")
-
-
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("path")
+    return filters.join_unique(p, named, "path").select("page_id", "pages")
 
 
 @query("chain_conflicts", "SELECT p_partkey, len(list_intersect([lower(p_type), split_part(p_name, ' ', 1)], ['promo', 'red', 'small']))::int AS conflicts FROM part")
@@ -116,13 +109,16 @@ def missing_keys(spark, sf_dir):
     return count(lack, "missing").union(count(have, "present"))
 
 
-@query("context_stats")
+@query(
+    "context_stats",
+    f"""WITH RECURSIVE {TESTS}, {CONTEXT}, n AS (SELECT p.program, count(rank) AS n, coalesce(sum(length(input)), 0) AS chars FROM (SELECT DISTINCT o_orderkey AS program FROM orders) p LEFT JOIN chosen USING (program) GROUP BY 1)
+        SELECT count(*) AS programs, round(avg(n), 6) AS mean_examples, round(avg(chars), 6) AS mean_chars, count(*) FILTER (n = 0) AS without, count(*) FILTER (n < 4) AS below_quota FROM n""",
+)
 def context_stats(spark, sf_dir):
-    """Sizes of the chosen contexts: their mean, and how many programs are below their quota."""
-    tests = boolean_tests.crossed(order_tests(spark, sf_dir))
-    pool = tests.select("program", (F.col("i") * 1000 + F.col("j")).alias("pos"), "input", "result")
-    sizes = boolean_tests.greedy_context(pool, true_quota=2, false_quota=2).groupBy("program").agg(F.count("*").alias("n"), F.sum(F.length("input")).alias("chars"))
-    return sizes.agg(F.count("*").alias("programs"), F.avg("n").alias("mean_examples"), F.avg("chars").alias("mean_chars"), F.count_if(F.col("n") < 4).alias("below_quota"))
+    """Sizes of the chosen contexts: their means, and how many programs have none or are below their quota."""
+    chosen = boolean_tests.greedy_context(context_pool(spark, sf_dir), true_quota=2, false_quota=2)
+    programs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("program")).distinct()
+    return stats.context_sizes(programs, chosen, "program", "input", 4)
 
 
 @query("distinct_outcomes", "SELECT event_type, count(DISTINCT user_id) AS tasks FROM events GROUP BY 1")

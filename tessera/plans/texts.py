@@ -161,9 +161,9 @@ def order_tests(spark, sf_dir):
 
 TESTS = """i AS (SELECT l_orderkey AS program, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, (l_partkey % 7)::varchar AS input,
       CASE l_returnflag WHEN 'R' THEN '==' WHEN 'A' THEN '<' ELSE 'in' END AS op, (l_suppkey % 5)::varchar AS output FROM lineitem),
-    x AS (SELECT a.program, a.input, a.op, b.output, a.pos AS i, b.pos AS j FROM i a JOIN i b ON a.program = b.program),
-    t AS (SELECT program, input, op, output, min([i, j]) AS spot, bool_or(i = j) AS is_original FROM x GROUP BY ALL),
-    o AS (SELECT program, input, op, output, spot[1] AS i, spot[2] AS j, CASE WHEN is_original THEN 'True' ELSE 'False' END AS result, is_original, program::varchar || '_' || spot[1]::varchar || '_' || spot[2]::varchar AS task_id FROM t)"""
+    x AS (SELECT a.program, a.input, a.op, b.output, a.pos AS i, b.pos AS j, a.output = b.output AS truth FROM i a JOIN i b ON a.program = b.program),
+    t AS (SELECT program, input, op, output, min([i, j, truth::bigint]) AS spot FROM x GROUP BY ALL),
+    o AS (SELECT program, input, op, output, spot[1] AS i, spot[2] AS j, CASE WHEN spot[3] = 1 THEN 'True' ELSE 'False' END AS result, spot[1] = spot[2] AS is_original, program::varchar || '_' || spot[1]::varchar || '_' || spot[2]::varchar AS task_id FROM t)"""
 
 
 @query("self_cross_pairs", f"WITH {TESTS} SELECT program, input, op, output, result, i, j FROM o")
@@ -193,11 +193,52 @@ def balanced_select(spark, sf_dir):
     return boolean_tests.balanced(tests).select("task_id", "result")
 
 
-@query("greedy_context")
+#: Turns of true and false tests, and the state after each of the 2 * n steps of the two passes.
+CONTEXT = """k AS (SELECT *, row_number() OVER (PARTITION BY program ORDER BY nth, result DESC) AS k, count(*) OVER (PARTITION BY program) AS n
+             FROM (SELECT *, row_number() OVER (PARTITION BY program, result ORDER BY i, j) AS nth FROM o)),
+    g(program, s, n, t, f, seen, taken) AS (
+        SELECT DISTINCT program, 0::bigint, n, 2, 2, []::varchar[], []::bigint[] FROM k
+        UNION ALL
+        SELECT program, s + 1, n, t - (take AND result = 'True')::int, f - (take AND result = 'False')::int, CASE WHEN take THEN seen || [input] ELSE seen END, CASE WHEN take THEN taken || [k] ELSE taken END
+        FROM (SELECT g.program, g.s, g.n, g.t, g.f, g.seen, g.taken, k.k, k.input, k.result,
+                     CASE k.result WHEN 'True' THEN t > 0 ELSE f > 0 END AND NOT list_contains(taken, k.k) AND (s >= g.n OR NOT list_contains(seen, k.input)) AS take
+              FROM g JOIN k ON k.program = g.program AND k.k = g.s % g.n + 1 WHERE g.s < 2 * g.n AND g.t + g.f > 0)),
+    c AS (SELECT program, unnest(taken) AS k, generate_subscripts(taken, 1) AS rank FROM (SELECT program, arg_max(taken, s) AS taken FROM g GROUP BY program)),
+    chosen AS (SELECT c.program, c.rank, k.i, k.j, k.input, k.result FROM c JOIN k USING (program, k))"""
+
+
+def context_pool(spark, sf_dir):
+    return boolean_tests.crossed(order_tests(spark, sf_dir)).select("program", F.struct("i", "j").alias("pos"), "input", "result")
+
+
+@query("greedy_context", f"WITH RECURSIVE {TESTS}, {CONTEXT} SELECT * FROM chosen")
 def greedy_context(spark, sf_dir):
-    tests = boolean_tests.crossed(order_tests(spark, sf_dir))
-    pool = tests.select("program", (F.col("i") * 1000 + F.col("j")).alias("pos"), "input", "result")
-    return boolean_tests.greedy_context(pool, true_quota=2, false_quota=2)
+    chosen = boolean_tests.greedy_context(context_pool(spark, sf_dir), true_quota=2, false_quota=2)
+    return chosen.select("program", "rank", "pos.i", "pos.j", "input", "result")
+
+
+@query("numbered_tests", f"WITH {TESTS} SELECT task_id, row_number() OVER (PARTITION BY program ORDER BY result DESC, i, j) - 1 AS pred_idx FROM o")
+def numbered_tests(spark, sf_dir):
+    """True tests before false ones, with their running index."""
+    tests = boolean_tests.numbered(boolean_tests.crossed(order_tests(spark, sf_dir)))
+    return tests.select(F.concat_ws("_", "program", "i", "j").alias("task_id"), F.col("pred_idx").cast("long").alias("pred_idx"))
+
+
+@query(
+    "fixed_tests",
+    f"""WITH {TESTS}, m AS (SELECT program, input || ' ' || op || ' ' || output AS statement, count(*) AS times FROM x GROUP BY ALL)
+        SELECT task_id, CASE WHEN i = 1 AND j = 2 AND times = 1 THEN CASE result WHEN 'True' THEN 'False' ELSE 'True' END ELSE result END AS result, i = 1 AND j = 2 AND times = 1 AS is_manual_fix
+        FROM o JOIN m ON m.program = o.program AND m.statement = o.input || ' ' || o.op || ' ' || o.output WHERE NOT (i = 2 AND j = 1)""",
+)
+def fixed_tests(spark, sf_dir):
+    """Programs of which one statement is excluded and another one's result is flipped by hand."""
+    pairs = order_tests(spark, sf_dir)
+    plain = boolean_tests.crossed(pairs).withColumn("statement", F.concat_ws(" ", "input", "op", "output"))
+    left = pairs.select("program", F.concat_ws(" ", "input", "op").alias("left"))
+    times = left.join(pairs.select("program", "output"), "program").groupBy("program", F.concat_ws(" ", "left", "output").alias("statement")).agg(F.count("*").alias("times"))
+    fixes = plain.where("i = 1 and j = 2").join(times.where("times = 1"), ["program", "statement"], "left_semi").select("program", "statement")
+    tests = boolean_tests.crossed(pairs, excluded=plain.where("i = 2 and j = 1").select("program", "statement"), fixes=fixes)
+    return tests.select(F.concat_ws("_", "program", "i", "j").alias("task_id"), "result", "is_manual_fix")
 
 
 @query(
@@ -219,9 +260,7 @@ def event_folder(spark, sf_dir):
 
 
 def streamed(spark, stream, name, mode="complete"):
-    import uuid
-
-    return streams.run_to_table(stream, f"{name}_{uuid.uuid4().hex[:8]}", mode)
+    return streams.run_to_table(stream, name, mode)
 
 
 @query("stream_outcome_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -252,13 +291,23 @@ def batch_sessions(spark, sf_dir):
     return streams.sessions(e, "6 hours").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+@query(
+    "stream_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+       s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def stream_sessions(spark, sf_dir):
+    s = streams.sessions(streams.event_stream(spark, event_folder(spark, sf_dir)), "6 hours")
+    return streamed(spark, s, "sessions").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
 @query("stream_dedupe", "SELECT count(DISTINCT event_id) AS n FROM events")
 def stream_dedupe(spark, sf_dir):
-    s = streams.deduplicated(streams.event_stream(spark, event_folder(spark, sf_dir)), late="3650 days")
+    s = streams.deduplicated(streams.event_stream(spark, event_folder(spark, sf_dir)), late="30 days")
     return streamed(spark, s.select("event_id"), "dedupe", "append").agg(F.count("*").alias("n"))
 
 
-@query("stream_pack")
+@query("stream_pack", "SELECT user_id % 8 AS lane, unnest(range(count(*) // 64)) AS block, 64 AS n FROM events GROUP BY 1")
 def stream_pack(spark, sf_dir):
     e = streams.event_stream(spark, event_folder(spark, sf_dir)).withColumn("lane", F.col("user_id") % 8)
     return streamed(spark, streams.packed_stream(e, "lane", "event_type", 64), "packed", "append").select("lane", "block", F.size("tokens").alias("n"))
@@ -287,7 +336,16 @@ def udf_surface(spark, sf_dir):
     return d.groupBy("lang").agg(F.sum("words").alias("words"), metrics["exact_match"](F.col("text"), F.col("text")).alias("exact"))
 
 
-@query("bleu_by_lang")
+@query(
+    "bleu_by_lang",
+    f"""WITH h AS (SELECT doc_id, lang, w[1:len(w) // 2] AS t, w[len(w) // 2 + 1:] AS p FROM (SELECT doc_id, lang, {WORDS.format('text')} AS w FROM documents)),
+        s AS (SELECT doc_id, lang, n, side, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
+              FROM (SELECT doc_id, lang, 't' AS side, t AS w FROM h UNION ALL SELECT doc_id, lang, 'p', p FROM h), (SELECT unnest([1, 2, 3, 4]) AS n)),
+        c AS (SELECT doc_id, lang, n, gram, count(*) FILTER (side = 't') AS t, count(*) FILTER (side = 'p') AS p FROM s GROUP BY ALL),
+        m AS (SELECT lang, n, sum(least(t, p)) AS hits, sum(p) AS all_ FROM c GROUP BY ALL),
+        z AS (SELECT lang, sum(len(p)) AS c, sum(len(t)) AS r FROM h GROUP BY 1)
+        SELECT lang, round(CASE WHEN min(hits) > 0 THEN 100 * exp(avg(ln(hits / all_)) + least(0, 1 - any_value(r) / any_value(c))) ELSE 0 END, 6) AS bleu, any_value(c)::bigint AS words FROM m JOIN z USING (lang) GROUP BY lang""",
+)
 def bleu_by_lang(spark, sf_dir):
     """BLEU of each document's second half of words against its first."""
     from tessera.functions.bleu import corpus_bleu
@@ -295,7 +353,7 @@ def bleu_by_lang(spark, sf_dir):
     w = packing.whitespace_tokens(F.col("text"))
     half = F.floor(F.size(w) / 2).cast("int")
     d = table(spark, sf_dir, "documents").select("lang", F.array_join(F.slice(w, F.lit(1), half), " ").alias("target"), F.array_join(F.slice(w, half + 1, F.size(w)), " ").alias("prediction"))
-    return corpus_bleu(d, "prediction", "target", ["lang"])
+    return corpus_bleu(d, "prediction", "target", ["lang"]).withColumn("bleu", F.round("bleu", 6))
 
 
 @query("code_screen")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,5 +26,22 @@ def session(name: str = "tessera", cores: int | None = None) -> SparkSession:
     )
 
 
+_folders: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; without it, on a local master only, in a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _folders:
+            _folders[app] = tempfile.mkdtemp(prefix="tessera-streams-")
+            atexit.register(shutil.rmtree, _folders[app], ignore_errors=True)
+        shared = f"file://{_folders[app]}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -63,14 +63,19 @@ def write_by(df: DataFrame, path: str, *by: str, mode: str = "overwrite") -> Non
 
 
 def write_split(df: DataFrame, path: str, name: str) -> None:
-    """name.jsonl and name_val.jsonl from the column split, in one pass."""
-    label = F.when(F.col("split") == "val", f"{name}_val").otherwise(name)
-    df.withColumn("file", label).drop("split").write.mode("overwrite").partitionBy("file").json(path)
+    """name.jsonl and name_val.jsonl, folders of JSON lines, from the column split."""
+    val = F.coalesce(F.col("split") == "val", F.lit(False))
+    for own, suffix in ((~val, ""), (val, "_val")):
+        df.where(own).drop("split").write.mode("overwrite").json(f"{path}/{name}{suffix}.jsonl")
 
 
-def write_json_object(df: DataFrame, path: str, key: str) -> None:
-    """One JSON object a row and line, {key: rest}; objects of all rows together would need one task."""
+def write_json_object(df: DataFrame, path: str, key: str, *, whole: bool = False) -> None:
+    """One JSON object a row and line, {key: rest}; ``whole``: one object of all rows, nested by key, which is for tables that fit one task."""
     rest = [c for c in df.columns if c != key]
+    if whole:
+        one = df.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string"), F.struct(*rest)))))).alias("value"))
+        one.write.mode("overwrite").text(path)
+        return
     entry = F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array(F.struct(*rest))))
     df.select(entry.alias("value")).write.mode("overwrite").text(path)
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.session import scratch
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -42,8 +44,7 @@ def packed_stream(texts: DataFrame, lane: str, text: str, length: int) -> DataFr
         tail = list(tail)
         out = []
         for frame in frames:
-            for value in frame[text]:
-                tail += (value or "").split()
+            tail += frame[text].dropna().str.split().explode().dropna().tolist()
             while len(tail) >= length:
                 out.append((key[0], block, tail[:length]))
                 tail, block = tail[length:], block + 1
@@ -54,14 +55,25 @@ def packed_stream(texts: DataFrame, lane: str, text: str, length: int) -> DataFr
     return own.groupBy("lane").applyInPandasWithState(pack, "lane long, block long, tokens array<string>", "block long, tail array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a bounded stream to its end into a memory table, for tests and small results."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a bounded stream to its end and return what it made, from a table in the shared folder.
+
+    Each batch is written to a folder of its own, over what a failed attempt left, with the stream's checkpoint beside it;
+    of a complete output the last batch counts.
+    """
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
+    last = [-1]
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={k}")
+        last[0] = k
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    made = spark.read.schema(stream.schema)
+    return made.parquet(f"{path}/table/batch={last[0]}") if mode == "complete" else made.parquet(*(f"{path}/table/batch={k}" for k in range(last[0] + 1)))
 
 
 def epochs(df: DataFrame, n: int) -> DataFrame:
