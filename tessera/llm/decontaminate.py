@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_id, slices
+from tessera.llm.common import as_id, scratch_path, slices
 
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
+HELD_BYTES = 8 << 20
 
 
 def plain(text: str) -> str:
@@ -137,20 +140,37 @@ def _merged(places: list[int], most: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_CHARS characters (or a single longer one)."""
-    block, chars = [], 0
-    for row in items.toLocalIterator():
-        text = plain(row["text"].strip())
-        if not text:
-            continue
-        if block and chars + len(text) > BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-        block.append((row["item_id"], text))
-        chars += len(text)
-    if block:
-        yield block
+def _write_items(items: DataFrame, path: str) -> int:
+    """Write items in blocks of about BLOCK_CHARS characters, by hash; the number of blocks."""
+    n = int(items.agg((F.sum(F.length("text")) / BLOCK_CHARS).cast("long")).first()[0] or 0) + 1
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    items.withColumn("block", block).repartition(n, "block").write.partitionBy("block").parquet(path)
+    return n
+
+
+@lru_cache(1)
+def _matcher(path: str, block: int, rate: float) -> Matcher | None:
+    """The matcher of a block of items, read from the shared folder; a worker keeps its last one."""
+    system, folder = fs.FileSystem.from_uri(f"{path}/block={block}")
+    names = [f.path for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
+    if not names:
+        return None
+    found = dataset.dataset(names, pa.schema([("item_id", pa.int64()), ("text", pa.string())]), format="parquet", filesystem=system).to_table()
+    items = [(i, plain(t.strip())) for i, t in zip(found.column("item_id").to_pylist(), found.column("text").to_pylist(), strict=True)]
+    return Matcher([(i, t) for i, t in items if t], rate)
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.08) -> DataFrame:
@@ -163,26 +183,23 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     no id are skipped, as are null texts, and an empty text holds none; a text is read whole, by one task, however long; repeated items and rows give rows of their own. Other
     columns are not read.
 
-    Items are read in blocks of at most 4 MB of text, whatever their number; each block is an
-    automaton that goes with the tasks of one pass over the documents.
+    Items lie in the shared folder in blocks of about 2 MB of text, whatever their number. The documents are passed once: a
+    task holds some MB of them against one block's automaton after another.
     """
     spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-    kind = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
     own = docs.select(as_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-
-    def against(block: list[tuple[int, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
-            for batch in slices(batches, "text"):
-                rows = [(i, *m) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in matcher.matches(t)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-        return run
-
-    out = spark.createDataFrame([], kind)
-    for block in _blocks(wanted):
-        out = out.union(own.mapInArrow(against(block), kind))
-    return out
+    path = scratch_path(spark, "items")
+    blocks = _write_items(wanted, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(slices(batches, "text"), HELD_BYTES):
+            for block in range(blocks):
+                matcher = _matcher(path, block, rate)
+                for batch in held if matcher else ():
+                    rows = [(i, *m) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in matcher.matches(t)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return own.mapInArrow(run, "doc_id bigint, item_id bigint, distance int, start bigint, end bigint")
