@@ -103,6 +103,32 @@ def _telling(flat: np.ndarray, grade: np.ndarray, share: np.ndarray) -> np.ndarr
     return out & (count >= LEAST_DOCS)
 
 
+def objective(params: np.ndarray, size: int, flat: np.ndarray, row: np.ndarray, grades: np.ndarray, levels: int) -> tuple[float, np.ndarray]:
+    """(mean of -log P(grade) and the penalty, its gradient) of ``size`` weights, the first threshold, and the logs of the gaps to the next ones.
+
+    ``flat`` and ``row`` list the features of all examples and the example of each.
+    """
+    w, first, gaps = params[:size], params[size], params[size + 1 :]
+    weight = 1 / max(1, len(grades))
+    thresholds = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
+    score = np.bincount(row, w[flat], len(grades))
+    edges = np.concatenate(([-np.inf], thresholds, [np.inf]))
+    upper, lower = score - edges[grades], score - edges[grades + 1]
+    p, q = 1 / (1 + np.exp(-np.clip(upper, -50, 50))), 1 / (1 + np.exp(-np.clip(lower, -50, 50)))
+    p, q = np.where(grades == 0, 1.0, p), np.where(grades == levels - 1, 0.0, q)
+    chance = np.maximum(p - q, 1e-9)
+    dp, dq = p * (1 - p) / chance, q * (1 - q) / chance
+    to_weights = np.bincount(flat, -weight * (dp - dq)[row], size) + PENALTY * w
+    by_threshold = np.zeros(levels - 1)
+    inner = grades > 0
+    np.add.at(by_threshold, grades[inner] - 1, weight * dp[inner])
+    inner = grades < levels - 1
+    np.add.at(by_threshold, grades[inner], -weight * dq[inner])
+    tail = np.cumsum(by_threshold[::-1])[::-1]
+    loss = -weight * np.log(chance).sum() + PENALTY * (w * w).sum() / 2
+    return float(loss), np.concatenate((to_weights, [tail[0]], tail[1:] * np.exp(gaps)))
+
+
 def fit(features: list[np.ndarray], grades: np.ndarray, levels: int) -> Model:
     """Maximum likelihood with an L2 penalty, by Adam over all examples.
 
@@ -115,29 +141,11 @@ def fit(features: list[np.ndarray], grades: np.ndarray, levels: int) -> Model:
     telling = _telling(flat, grades[row], np.bincount(grades, minlength=levels) / max(1, len(n)))
     row, flat = row[telling[flat]], flat[telling[flat]]
     used, flat = np.unique(flat, return_inverse=True)
-    weight = np.full(len(n), 1 / max(1, len(n)))
     params = np.concatenate((np.zeros(len(used)), [1.0 - levels], np.zeros(max(0, levels - 2))))
     m, v = np.zeros_like(params), np.zeros_like(params)
     size = len(used)
     for t in range(1, STEPS + 1):
-        w, first, gaps = params[:size], params[size], params[size + 1 :]
-        thresholds = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        score = np.bincount(row, w[flat], len(n))
-        edges = np.concatenate(([-np.inf], thresholds, [np.inf]))
-        upper, lower = score - edges[grades], score - edges[grades + 1]
-        p, q = 1 / (1 + np.exp(-np.clip(upper, -50, 50))), 1 / (1 + np.exp(-np.clip(lower, -50, 50)))
-        p, q = np.where(grades == 0, 1.0, p), np.where(grades == levels - 1, 0.0, q)
-        chance = np.maximum(p - q, 1e-9)
-        dp, dq = p * (1 - p) / chance, q * (1 - q) / chance
-        by_score = -weight * (dp - dq)
-        to_weights = np.bincount(flat, by_score[row], size) + PENALTY * w
-        by_threshold = np.zeros(levels - 1)
-        inner = grades > 0
-        np.add.at(by_threshold, grades[inner] - 1, (weight * dp)[inner])
-        inner = grades < levels - 1
-        np.add.at(by_threshold, grades[inner], -(weight * dq)[inner])
-        tail = np.cumsum(by_threshold[::-1])[::-1]
-        gradient = np.concatenate((to_weights, [tail[0]], tail[1:] * np.exp(gaps)))
+        _, gradient = objective(params, size, flat, row, grades, levels)
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         params = params - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dirs: dict[str, str] = {}
+_written: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,7 +43,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all scratch tables of this driver, once the results that still read them are saved."""
+    for path in [*_written]:
+        delete_path(spark, path)
 
 
 class Tables:
@@ -78,6 +87,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
