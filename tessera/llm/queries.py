@@ -135,4 +135,12 @@ ORACLE: dict[str, str] = {
         reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
         m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
         SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op8_warc_capture_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        k AS (SELECT page_id, strlen(html)::bigint AS payload_bytes, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+        g AS (SELECT *, list_transform(range(0, 40, 5), lambda i: ('0x' || substr(x, i + 1, 5))::bigint) AS parts FROM k)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31)::int + 1, 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM g""",
 }

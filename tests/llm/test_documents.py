@@ -257,10 +257,12 @@ def least_distance(item, text):
     return min(row)
 
 
-def test_every_item_that_occurs_is_found(spark):
+@pytest.mark.parametrize("block", [100, 1 << 20])
+def test_every_item_that_occurs_is_found(spark, monkeypatch, block):
     """Items of 3 to 90 characters with 0 to one more edits than they may have, against the full table."""
     import random
 
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
     r = random.Random(11)
     items = [(k, prose(600 + k, 14)[: r.choice([3, 9, 13, 20, 30, 60, 90])].strip()) for k in range(25)]
     rows = []

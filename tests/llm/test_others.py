@@ -192,7 +192,7 @@ def test_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("embeddings", "conversations", "documents"):
+    for t in ("embeddings", "conversations", "documents", "pages"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(ORACLE[name])
     names = sorted(want.columns)
@@ -355,3 +355,60 @@ def test_broken_pages_take_linear_time(page):
         html.Page(page).text([])
         assert tracemalloc.get_traced_memory()[1] < 200 << 20
         tracemalloc.stop()
+
+
+def plain_chances(score, thresholds):
+    """The probability of each grade."""
+    above = [1.0, *(1 / (1 + math.exp(t - score)) for t in thresholds), 0.0]
+    return [a - b for a, b in zip(above, above[1:], strict=False)]
+
+
+@pytest.mark.parametrize("levels", [2, 3, 5])
+def test_likelihood_and_its_gradient(levels):
+    r = np.random.default_rng(levels)
+    docs, size = 40, 12
+    features = [np.unique(r.integers(0, size, r.integers(0, 6))) for _ in range(docs)]
+    grades = r.integers(0, levels, docs)
+    flat, row = np.concatenate(features).astype(int), np.repeat(np.arange(docs), [len(f) for f in features])
+
+    def plain(params):
+        thresholds = [params[size]]
+        for gap in params[size + 1 :]:
+            thresholds.append(thresholds[-1] + math.exp(gap))
+        logs = [math.log(plain_chances(sum(params[j] for j in f), thresholds)[g]) for f, g in zip(features, grades, strict=True)]
+        return -sum(logs) / docs + classifier.PENALTY / 2 * sum(x * x for x in params[:size])
+
+    params = np.concatenate((r.normal(0, 1, size), [-0.7], r.normal(0, 0.5, levels - 2)))
+    loss, gradient = classifier.objective(params, size, flat, row, grades, levels)
+    assert math.isclose(loss, plain(params), rel_tol=1e-9)
+    for k in range(len(params)):
+        step = np.zeros(len(params))
+        step[k] = 1e-5
+        assert abs((plain(params + step) - plain(params - step)) / 2e-5 - gradient[k]) < 1e-7
+
+
+def plain_features(text):
+    words = (text or "").encode().split()
+    if not words:
+        return set()
+    import re
+
+    shape = lambda w: re.sub(rb"\d+", b"0", re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[A-Z]+", b"A", w)))
+    names = set()
+    for w in words:
+        low = w.lower().strip(b".,;:!?\"'()")
+        names |= {b"w" + low, b"4" + low[:4], b"6" + low[:6], b"s" + shape(w)}
+    odd = sum(not re.fullmatch(rb"A?a?[.,;:!?]?", shape(w)) for w in words)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    names |= {b"fresh %d %d" % (min(len(words).bit_length(), 12), 10 * len(set(words)) // len(words)), b"odd %d" % (10 * odd // len(words)), b"again %d" % (10 * again // (len(words) - 1) if len(words) > 1 else 0)}
+    return {classifier._hash(x) for x in names}
+
+
+def test_scores_against_plain(spark):
+    r = np.random.default_rng(4)
+    model = classifier.Model(r.normal(0, 0.3, 1 << classifier.BITS).astype(np.float32), np.array([-1.0, 0.5]))
+    rows = [*enumerate([None, "", " \n", "One two two 2.5 THREE... é", prose(1, 300), "a " * 50])]
+    got = {x["doc_id"]: x for x in classifier.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for i, t in rows:
+        chances = plain_chances(sum(float(model.weights[f]) for f in plain_features(t)), model.thresholds)
+        assert math.isclose(got[i]["tail"], chances[2], rel_tol=1e-6) and math.isclose(got[i]["expected_grade"], chances[1] + 2 * chances[2], rel_tol=1e-6)
