@@ -21,7 +21,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Tables, as_id, slices
@@ -406,8 +406,9 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     own = pages.select(as_id(pages, id_col).alias("id"), url.alias("url"), host.alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
     kind = "page bigint, host string, path bigint, votes bigint, score bigint, rest array<struct<path:bigint,depth:int,block:bigint>>"
     votes = tables.write(own.select("host", "html").mapInArrow(_votes(), kind), "votes")
+    total = votes.groupBy("host").agg(F.sum("votes").alias("total"))
     votes = _climbed(votes).groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
-    fair = votes.withColumn("total", F.sum("votes").over(Window.partitionBy("host"))).where(F.col("votes") >= F.col("total") * share)
+    fair = votes.join(total, "host").where(F.col("votes") >= F.col("total") * share)
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")))
     winners = tables.write(fair.groupBy("host").agg(ranked.alias("w")).select("host", F.col("w.path").alias("winners")), "winners")
     tables.drop("votes")
