@@ -164,7 +164,7 @@ def train(docs: DataFrame, grades: DataFrame, levels: int = 3, *, id_col: str =
     """Fit a model on the documents of ``grades`` (doc_id, grade).
 
     At most ``sample`` labelled documents are used, those whose doc_id hashes lowest; the
-    whole text of each is. A doc_id that repeats has its lowest grade. Null grades
+    whole text of each is. A doc_id that repeats has its lowest grade, and of its texts the least. Null grades
     and ids, and labels without a document, are left out. Without any label left the model has no
     weights and accepts all. The fit runs in one task on the features of the sample.
     """
@@ -193,7 +193,8 @@ def train(docs: DataFrame, grades: DataFrame, levels: int = 3, *, id_col: str =
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (used, model.weights[used], model.thresholds)], schema=model_schema)
 
     # of bounded size by ``sample``
-    labelled = texts.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(featurise, "grade int, features array<int>")
+    labelled = texts.join(F.broadcast(chosen), "id").groupBy("id", "grade").agg(F.min("text").alias("text"))
+    labelled = labelled.select("grade", "text").mapInArrow(featurise, "grade int, features array<int>")
     row = labelled.repartition(1).mapInArrow(fitted, "used binary, weights binary, thresholds binary").first()
     weights = np.zeros(1 << BITS, np.float32)
     if row is None:
