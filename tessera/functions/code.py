@@ -186,6 +186,21 @@ def definitions_and_uses(code: str) -> list[dict]:
     return rows
 
 
+USES = "array<struct<line:int,defines:array<string>,uses:array<string>,code:string>>"
+
+
+@vectorised(USES)
+def variable_trace(code: pd.Series) -> pd.Series:
+    """The definitions and uses of each statement; none for a program that can't be parsed."""
+    return code.map(lambda c: definitions_and_uses(c) if valid_syntax(c) else [])
+
+
+@vectorised("string")
+def sliced(code: pd.Series, name: pd.Series) -> pd.Series:
+    """The statements on which a variable's final value depends; null for a program that can't be parsed."""
+    return pd.Series([backward_slice(c, {n}) if valid_syntax(c) else None for c, n in zip(code, name, strict=True)], index=code.index, dtype=object)
+
+
 def backward_slice(code: str, names: set[str]) -> str:
     """The top-level statements on which the final values of ``names`` depend."""
     wanted, kept = set(names), []
@@ -365,6 +380,14 @@ def execute(program: str, seconds: float = 3.0, megabytes: int = 512) -> dict:
     return {"passed": name == "Passed", "result": name, "error": message or None}
 
 
+def timed(program: str, statement: str, runs: int = 100, seconds: float = 3.0) -> dict:
+    """Seconds that a statement takes over some runs after its program, or why it has none; as ``execute``, in a child process."""
+    loop = f"import time as _t\n{program}\n_began = _t.perf_counter()\nfor _ in range({runs}):\n    {statement}\n_took = _t.perf_counter() - _began\nraise RuntimeError('%.9f' % _took)"
+    done = execute(loop, seconds)
+    took = float(done["error"]) if done["result"] == "RuntimeError" and done["error"] else None
+    return {"seconds": took, "result": "Passed" if took is not None else done["result"]}
+
+
 def executed(programs: DataFrame, *, code: str = "code", enabled: bool = False, seconds: float = 3.0) -> DataFrame:
     """``programs`` with passed, result and error of each; off unless ``enabled``, for it runs what the rows say."""
     if not enabled:

@@ -132,6 +132,12 @@ def human_size(n: Column) -> Column:
     return out
 
 
+def duration_text(seconds: Column) -> Column:
+    """Seconds as hours, minutes and seconds, "1:02:03"."""
+    s = F.floor(seconds).cast("long")
+    return F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
+
+
 def indented(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)^", "\t")
 

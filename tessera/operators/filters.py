@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +98,13 @@ def join_unique(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
     one = names.groupBy(key).agg(F.count("*").alias("__n"), F.first(F.struct(*rest)).alias("__r"))
     checked = F.when(F.col("__n") == 1, F.col("__r")).otherwise(F.raise_error(F.concat(F.lit("repeated: "), F.col(key).cast("string"))))
     return df.join(one.withColumn("__r", checked), key).select(*df.columns, "__r.*")
+
+
+def where_each(df: DataFrame, keep: Callable[[dict], bool]) -> DataFrame:
+    """Rows for which a Python function of the row, as a dict, is true; batch by batch, for what columns can't say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(keep(row)) for row in batch.to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -31,10 +31,10 @@ def overview(questions: DataFrame) -> DataFrame:
 def align_answers(questions: DataFrame, answers: DataFrame, *, order: str = "line") -> DataFrame:
     """Questions with an array ``answers`` of structs, one for each answer id (the last by ``order`` wins); empty if there is none.
 
-    Answers are aggregated by question before the join, so a question's shuffle key is its own id.
+    Answers are brought together by question once; both aggregations and the join use that exchange.
     """
     others = [c for c in answers.columns if c != "parent_id"]
-    last = answers.groupBy("parent_id", "id").agg(F.max_by(F.struct(*others), F.col(order)).alias("a"))
+    last = answers.repartition("parent_id").groupBy("parent_id", "id").agg(F.max_by(F.struct(*others), F.col(order)).alias("a"))
     nested = last.groupBy("parent_id").agg(F.sort_array(F.collect_list("a")).alias("answers"))
     joined = questions.join(nested, questions["id"] == nested["parent_id"], "left").drop("parent_id")
     kind = nested.schema["answers"].dataType

@@ -19,18 +19,35 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(draw(F.col(key), seed), key)
 
 
+def first_drawn(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """The first n rows of the shuffled order (all, if there are fewer), however large n is.
+
+    Draws are even over 65,536 ranges. Ranges are counted; those that n covers are taken whole, and
+    only the one in which it ends is ranked, so no task sorts more than a range.
+    """
+    placed = df.withColumn("__draw", draw(F.col(key), seed)).withColumn("__range", F.substr("__draw", F.lit(1), F.lit(4)))
+    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most 65,536 short rows
+    left = counts.withColumn("__left", F.lit(n) - before).where("__left > 0")
+    known = placed.join(F.broadcast(left), "__range")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("__draw", key))
+    last = known.where("__n > __left").withColumn("__rank", rank).where("__rank <= __left")
+    return known.where("__n <= __left").select(df.columns).union(last.select(df.columns))
+
+
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows without replacement, by a distributed top-n; ValueError if there are fewer."""
+    """Exactly n rows without replacement; ValueError if there are fewer."""
     if (there := df.count()) < n:
         raise ValueError(f"a sample of {n} from {there} rows")
-    return df.orderBy(draw(F.col(key), seed), key).limit(n)
+    return first_drawn(df, key, n, seed)
 
 
 def train_val_split(df: DataFrame, key: str, *, max_val: int, share: float = 0.1, seed: int = 0) -> DataFrame:
     """Adds ``split``: min(max_val, floor(share * rows)) of the keys are "val", the others "train"; rows that repeat a key stay together and count once."""
     keys = df.select(key).distinct()
     n = min(max_val, int(share * keys.count()))
-    val = keys.orderBy(draw(F.col(key), seed), key).limit(n).withColumn("__val", F.lit(True))
+    val = first_drawn(keys, key, n, seed).withColumn("__val", F.lit(True))
     return df.join(val, key, "left").withColumn("split", F.when(F.col("__val"), "val").otherwise("train")).drop("__val")
 
 

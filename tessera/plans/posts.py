@@ -132,12 +132,13 @@ def implicit_join(spark, sf_dir):
 
 @query(
     "key_reconcile",
-    """SELECT c_custkey AS key, 'no orders' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-       UNION ALL SELECT DISTINCT o_custkey, 'no customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+    """WITH c AS (SELECT c_custkey AS key FROM customer WHERE c_acctbal > 0), o AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderstatus = 'P')
+       SELECT key, 'no orders' AS side FROM c WHERE key NOT IN (SELECT key FROM o) UNION ALL SELECT key, 'no customer' FROM o WHERE key NOT IN (SELECT key FROM c)""",
 )
 def key_reconcile(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    """Keys that one side lacks: customers in credit, and those with open orders."""
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
+    b = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key")).distinct()
     return a.join(b, "key", "left_anti").withColumn("side", F.lit("no orders")).union(b.join(a, "key", "left_anti").withColumn("side", F.lit("no customer")))
 
 

@@ -90,9 +90,12 @@ def epochs_query(spark, sf_dir):
     return epochs(table(spark, sf_dir, "benchmark").select("item_id"), 3)
 
 
-@query("run_names", "SELECT DISTINCT regexp_replace(split_part(p_name, '-', 1), '_[^_]*$', '') AS name, 'train/' || p_brand AS metric FROM part")
+@query("run_names", "SELECT DISTINCT replace(p_name, ' ', '_x')[:length(replace(p_name, ' ', '_x')) - length(split_part(p_name, ' ', 2)) - 2] AS name, CASE p_size % 3 WHEN 0 THEN 'eval/' WHEN 1 THEN 'test/' ELSE 'train/' END || p_brand AS metric FROM part")
 def run_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(S.run_name(F.col("p_name")).alias("name"), S.metric_name(F.col("p_brand")).alias("metric")).distinct()
+    """Runs named "a_xb-size" and metrics of three kinds."""
+    run = F.concat(F.replace("p_name", F.lit(" "), F.lit("_x")), F.lit("-"), F.col("p_size").cast("string"))
+    metric = F.concat(F.element_at(F.array(F.lit("eval_"), F.lit("test_"), F.lit("")), (F.col("p_size") % 3 + 1).cast("int")), "p_brand")
+    return table(spark, sf_dir, "part").select(S.run_name(run).alias("name"), S.metric_name(metric).alias("metric")).distinct()
 
 
 @query("renamed_subset", "SELECT n_nationkey, 'Region ' || n_regionkey::varchar AS display FROM nation WHERE n_regionkey IN (0, 2)")

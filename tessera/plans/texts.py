@@ -328,12 +328,12 @@ def exact_match(prediction, target):
     return F.avg((F.trim(prediction) == F.trim(target)).cast("double")) * 100
 
 
-@query("udf_surface", f"SELECT lang, sum(len({WORDS.format('trim(text)')}))::bigint AS words, 100.0::double AS exact FROM documents GROUP BY lang")
+@query("udf_surface", f"SELECT lang, sum(len({WORDS.format('trim(text)')}))::bigint AS words, round(avg((trim(text) = trim(lower(text)))::int) * 100, 6) AS exact FROM documents GROUP BY lang")
 def udf_surface(spark, sf_dir):
     from tessera.registry import chain
 
     d = chain(table(spark, sf_dir, "documents"), "trimmed_text", "with_words")
-    return d.groupBy("lang").agg(F.sum("words").alias("words"), metrics["exact_match"](F.col("text"), F.col("text")).alias("exact"))
+    return d.groupBy("lang").agg(F.sum("words").alias("words"), F.round(metrics["exact_match"](F.lower("text"), F.col("text")), 6).alias("exact"))
 
 
 @query(

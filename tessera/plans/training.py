@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import strings as S
 from tessera.functions import templates
-from tessera.operators import filters, packing, posts, programs, samples, sampling, stats
+from tessera.operators import boolean_tests, filters, packing, posts, programs, samples, sampling, stats
+from tessera.plans.texts import CONTEXT, TESTS, context_pool, order_tests
 from tessera.registry import Catalogue, Task, metrics, prompts, run_task, tasks, transforms
 from tessera.session import table
 
@@ -272,3 +273,63 @@ def budgeted_words(spark, sf_dir):
 def sample_tap(spark, sf_dir):
     """The first rows, for a look at them."""
     return sampling.tap(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100)
+
+
+@query("durations", "SELECT o_orderkey, (o_totalprice::bigint // 3600)::varchar || ':' || lpad((o_totalprice::bigint % 3600 // 60)::varchar, 2, '0') || ':' || lpad((o_totalprice::bigint % 60)::varchar, 2, '0') AS took FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders)")
+def durations(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.duration_text(F.col("o_totalprice")).alias("took"))
+
+
+@query("where_each", "SELECT p_partkey FROM part WHERE length(p_name) % 2 = 0 AND p_size > 3")
+def where_each(spark, sf_dir):
+    """Rows that a Python function keeps."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return filters.where_each(p, lambda r: len(r["p_name"]) % 2 == 0 and r["p_size"] > 3).select("p_partkey")
+
+
+@query(
+    "context_batches",
+    f"""WITH RECURSIVE {TESTS}, {CONTEXT}, r AS (SELECT o.program, o.i, o.j, row_number() OVER (PARTITION BY o.program ORDER BY o.i, o.j) - 1 AS n FROM o ANTI JOIN chosen USING (program, i, j)),
+        s AS (SELECT program, count(*) AS shown FROM chosen GROUP BY 1)
+        SELECT program, (n // 5)::int AS batch, any_value(shown)::int AS shown, count(*)::int AS tests, string_agg(i::varchar || '-' || j::varchar, ',' ORDER BY i, j) AS places FROM r JOIN s USING (program) GROUP BY program, n // 5""",
+)
+def context_batches(spark, sf_dir):
+    """Tests in batches of five, with their program's context."""
+    tests = boolean_tests.crossed(order_tests(spark, sf_dir))
+    context = boolean_tests.greedy_context(context_pool(spark, sf_dir), true_quota=2, false_quota=2)
+    out = boolean_tests.with_contexts(tests, context, size=5)
+    places = F.array_join(F.transform("tests", lambda t: F.concat_ws("-", t["at"]["i"], t["at"]["j"])), ",")
+    return out.select("program", "batch", F.size("context").alias("shown"), F.size("tests").alias("tests"), places.alias("places"))
+
+
+@query(
+    "dump_statuses",
+    """SELECT result, count(*) AS n, sum(score)::bigint AS score, sum(tags)::bigint AS tags FROM (
+           SELECT CASE WHEN p_size % 7 = 0 THEN 'PARSE_FAIL' WHEN p_size > 45 THEN 'NOT_VALID_TYPE' WHEN p_size % 5 = 1 THEN 'NO_BODY' WHEN p_size % 2 = 1 AND p_size % 3 = 0 THEN 'NO_TITLE' ELSE 'PASS' END AS result,
+                  CASE WHEN p_size % 7 <> 0 THEN p_size - 10 END AS score, CASE WHEN p_size % 7 <> 0 AND p_size % 2 = 1 AND p_size <= 45 THEN 2 ELSE 0 END AS tags FROM part) GROUP BY 1""",
+)
+def dump_statuses(spark, sf_dir):
+    """Parts written as a dump of posts and read back: what became of each line."""
+    from tessera.session import scratch
+    from tessera.sources import posts_xml
+
+    size = F.col("p_size")
+    kind = F.when(size > 45, 17).when(size % 2 == 1, 1).otherwise(2)
+    body, title = F.when(size % 5 == 1, "").otherwise(F.concat(F.lit("a &lt;b&gt; "), "p_name")), F.when(size % 3 == 0, "").otherwise(F.col("p_name"))
+    line = F.concat(F.lit('  <row Id="'), F.col("p_partkey").cast("string"), F.lit('" PostTypeId="'), kind.cast("string"), F.lit('" Score="'), (size - 10).cast("string"), F.lit('" Body="'), body, F.lit('" Title="'), title, F.lit('" Tags="&lt;a&gt;&lt;b&gt;"'), F.when(size % 7 == 0, "").otherwise(" />"))
+    path = scratch(spark, "dump")
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    read = posts_xml.read_posts(spark, path)
+    return read.groupBy("result").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.sum(F.coalesce(F.size("tags"), F.lit(0))).cast("long").alias("tags"))
+
+
+@query("jsonl_round_trip", "SELECT lang, count(*) AS n, sum(n_chars)::bigint AS chars FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1")
+def jsonl_round_trip(spark, sf_dir):
+    """Documents written as JSON lines by language and read back with a schema."""
+    from tessera.session import scratch
+    from tessera.sources import files
+
+    path = scratch(spark, "by-lang")
+    files.write_by(table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("doc_id", "lang", "n_chars"), path, "lang")
+    both = files.read_jsonl(spark, path, "doc_id bigint, n_chars bigint, lang string")
+    return both.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

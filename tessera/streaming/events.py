@@ -76,6 +76,15 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFr
     return made.parquet(f"{path}/table/batch={last[0]}") if mode == "complete" else made.parquet(*(f"{path}/table/batch={k}" for k in range(last[0] + 1)))
 
 
+def progress(reports: list[dict], total: int) -> list[tuple[int, int, float]]:
+    """(batch, rows seen so far, their share of ``total``) from a query's progress reports."""
+    seen, out = 0, []
+    for r in sorted(reports, key=lambda r: r["batchId"]):
+        seen += r["numInputRows"]
+        out.append((r["batchId"], seen, seen / total if total else 1.0))
+    return out
+
+
 def epochs(df: DataFrame, n: int) -> DataFrame:
     """A source read n times over; the column epoch tells the pass."""
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -489,3 +489,17 @@ def test_late_rows_are_dropped(spark, tmp_path):
     found = streams.event_stream(spark, f"file://{tmp_path}/e/*")
     got = streams.run_to_table(streams.tumbling(found, "1 hour", late="2 hours"), "late", "append").collect()
     assert {r["window"]["start"].hour: r["n"] for r in got}[1] == 2
+
+
+def test_traces_and_times(spark):
+    df = spark.createDataFrame([("a = 1\nb = a\nc = 2", "b"), ("a = (", "a"), (None, "a")], "code string, name string")
+    rows = df.select(code.variable_trace("code").alias("t"), code.sliced("code", "name").alias("s")).collect()
+    assert [len(r["t"]) for r in rows] == [3, 0, 0] and rows[0]["t"][1]["uses"] == ["a"] and [r["s"] for r in rows] == ["a = 1\nb = a", None, None]
+    assert code.timed("def f(): return 1", "f()", 10)["seconds"] < 1
+    assert code.timed("def f(): return 1", "g()", 10) == {"seconds": None, "result": "NameError"}
+
+
+def test_progress():
+    from tessera.streaming import events as streams
+
+    assert streams.progress([{"batchId": 1, "numInputRows": 5}, {"batchId": 0, "numInputRows": 15}], 20) == [(0, 15, 0.75), (1, 20, 1.0)]
