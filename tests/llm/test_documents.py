@@ -321,3 +321,22 @@ def test_line_dedup_takes_short_lines(spark):
     rows = [(k, f"{prose(300 + k, 30)}\nAll rights reserved.\n{prose(400 + k, 30)}") for k in range(5)]
     got = linededup.remove_common_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_lines", "n_deleted").collect()
     assert Counter(map(tuple, got)) == Counter([(k, 3, int(k > 0)) for k in range(5)])
+
+
+def test_line_dedup_of_the_tables(spark):
+    """The registered query on the smallest tables, against the textbook."""
+    import sys
+
+    from tests.conftest import SF
+    from tessera.llm.queries import QUERIES
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(100_000)
+    try:
+        plain = plain_line_dedup(rows, 16, 1)
+    finally:
+        sys.setrecursionlimit(limit)
+    want = Counter((i, n, gone, hashlib.sha256(t.encode()).hexdigest() if t is not None else None) for (i, n, gone, t), times in plain.items() for _ in range(times))
+    assert Counter(map(tuple, QUERIES["op2_patience_line_dedup"](spark, SF).select("doc_id", "n_lines", "n_deleted", "kept_sha256").collect())) == want
+    assert sum(gone for _, _, gone, _ in want) > 0
