@@ -86,6 +86,43 @@ def code_stats(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(list(code.map(program_stats)), index=code.index)
 
 
+FUNCTIONS = "array<struct<name:string,args:array<string>,nested:array<string>,unused:array<string>,overwritten:array<string>,lines:int>>"
+
+
+def function_traces(code: str | None) -> list[dict]:
+    """Of each top-level function: its arguments, the functions within, names never read after their last binding, and names bound again before they were read."""
+    if not valid_syntax(code):
+        return []
+    out = []
+    for node in ast.parse(code).body:
+        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            continue
+        a = node.args
+        args = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
+        events = []
+        for n in ast.walk(node):
+            if isinstance(n, ast.Name):
+                events.append((n.lineno, isinstance(n.ctx, ast.Store), n.col_offset, n.id))
+            if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name):
+                events.append((n.lineno, False, n.col_offset, n.target.id))
+        unread, overwritten = set(args), []
+        for _, bound, _, name in sorted(events):  # within a line what is read comes first
+            if bound:
+                if name in unread and name not in overwritten:
+                    overwritten.append(name)
+                unread.add(name)
+            else:
+                unread.discard(name)
+        nested = [n.name for n in ast.walk(node) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n is not node]
+        out.append({"name": node.name, "args": args, "nested": nested, "unused": sorted(unread), "overwritten": overwritten, "lines": node.end_lineno - node.lineno + 1})
+    return out
+
+
+@vectorised(FUNCTIONS)
+def code_functions(code: pd.Series) -> pd.Series:
+    return code.map(function_traces)
+
+
 class _Shown(ast.NodeTransformer):
     """print(x) within a loop appends x to a list, elsewhere it sets a variable."""
 

@@ -503,3 +503,11 @@ def test_progress():
     from tessera.streaming import events as streams
 
     assert streams.progress([{"batchId": 1, "numInputRows": 5}, {"batchId": 0, "numInputRows": 15}], 20) == [(0, 15, 0.75), (1, 20, 1.0)]
+
+
+def test_function_traces(spark):
+    source = "def f(a, *b, c=1):\n    x = a\n    x = 2\n    def g(y): return y\n    n = 0\n    n += 1\n    return x + n\nz = 1\n"
+    (f,) = code.function_traces(source)
+    assert f == {"name": "f", "args": ["a", "b", "c"], "nested": ["g"], "unused": ["b", "c"], "overwritten": ["x"], "lines": 7}
+    df = spark.createDataFrame([(source,), ("def (",), (None,)], "code string")
+    assert [len(r[0]) for r in df.select(code.code_functions("code")).collect()] == [1, 0, 0]
