@@ -32,6 +32,7 @@ def perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     assistant turn's text and its end mark. Turns without conversation or speaker take
     no part, for nobody could be shown as saying them; a null text is empty, and the
     marks' opening "<|" within names and texts is written "< |" so that it can't pose as one.
+    Rows that share a turn number are never parted, however many they are.
     Repeated rows are turns of their own. Other columns are not read.
     """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
@@ -43,6 +44,9 @@ def perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     ).where("conv_id is not null and speaker is not null")
     said = own.withColumn("part", F.coalesce(F.expr(f"cast(floor(turn / {part}) as bigint)"), F.lit(-1).cast("long")))
     blocks = said.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
+    # short rows, one for each part; the texts stay where their part is
+    numbers = said.select("conv_id", "part").distinct().withColumn("number", (F.row_number().over(Window.partitionBy("conv_id").orderBy("part")) - 1).cast("long"))
+    blocks = blocks.join(numbers, ["conv_id", "part"])
     people = own.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     seen = blocks.join(people, "conv_id")
     header = lambda t: _header(t["speaker"], F.col("perspective"))
@@ -55,7 +59,6 @@ def perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     )
     spans = F.aggregate("sizes", empty, step)["spans"]
     out = seen.withColumns({"sizes": sizes, "text": F.array_join(rendered, "")})
-    number = F.dense_rank().over(Window.partitionBy("conv_id", "perspective").orderBy("part")) - 1
     return out.select(
-        "conv_id", "perspective", number.cast("long").alias("part"), F.size("turns").cast("long").alias("n_turns"), F.size(F.filter("sizes", lambda t: t["own"])).cast("long").alias("n_assistant"), "text", spans.alias("mask")
+        "conv_id", "perspective", F.col("number").alias("part"), F.size("turns").cast("long").alias("n_turns"), F.size(F.filter("sizes", lambda t: t["own"])).cast("long").alias("n_assistant"), "text", spans.alias("mask")
     )
