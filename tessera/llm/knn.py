@@ -5,7 +5,7 @@ the code's vector and the norm of what the code leaves out. Blocks of queries me
 strips of candidate blocks. A tile of code products gives every inner product up to
 a bound (Cauchy-Schwarz on the remainders); only pairs whose upper bound reaches the
 k-th largest lower bound are computed again from the original floats in double
-precision. Each strip keeps the k best of every query, and the strips' bests are
+precision. A heap for every query keeps a strip's k best, and the strips' bests are
 merged by rank.
 
 The tiles are all pairs of a query and a candidate, which the task asks for; what is
@@ -38,7 +38,7 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, scale, np.linalg.norm(near, axis=1) * slack, np.linalg.norm(x - near, axis=1) * slack
 
 
-def _pack(block: int):
+def _pack(block: int, kind: type):
     names = ("block", "dim", "ids", "vectors", "codes", "scale", "size", "rest")
     schema = pa.schema([("block", pa.int64()), ("dim", pa.int32())] + [(n, pa.binary()) for n in names[2:]])
 
@@ -54,7 +54,7 @@ def _pack(block: int):
             for at in range(0, len(ids), block):
                 v = x[at : at + block]
                 codes, scale, size, rest = quantise(v)
-                parts = [ids[at : at + block], v, codes, scale, size, rest]
+                parts = [ids[at : at + block], v.astype(kind), codes, scale, size, rest]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([dim], pa.int32()), *(pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts)], schema=schema)
                 number += 1
 
@@ -120,7 +120,8 @@ def _code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _unpacked(table: pa.Table, i: int) -> tuple[np.ndarray, ...]:
     row = {n: table.column(n)[i].as_py() for n in ("dim", "ids", "vectors", "codes", "scale", "size", "rest")}
     shape = (-1, row["dim"])
-    codes, x = np.frombuffer(row["codes"], np.int8).reshape(shape), np.frombuffer(row["vectors"], np.float64).reshape(shape)
+    codes = np.frombuffer(row["codes"], np.int8).reshape(shape)
+    x = np.frombuffer(row["vectors"], np.float64 if len(row["vectors"]) == 8 * codes.size else np.float32).reshape(shape).astype(np.float64)
     return np.frombuffer(row["ids"], np.int64), x, codes, *(np.frombuffer(row[c], np.float64) for c in ("scale", "size", "rest"))
 
 
@@ -175,12 +176,14 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vect
     spark = vectors.sparkSession
     tables = Tables(spark)
     vector = F.col(f"`{vector_col}`").cast("array<double>")
+    single = vectors.select(F.col(f"`{vector_col}`").alias("v")).schema["v"].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64  # of the originals, without loss
     own = vectors.select(as_id(vectors, id_col).alias("id"), vector.alias("vector"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     sound = F.expr("id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
     own = own.where(sound)
     codes = own.where("is_query").select("id", "vector").dropDuplicates(["id", "vector"])
-    q = tables.write(codes.mapInArrow(_pack(block), PACKED), "queries")
-    c = tables.write(own.select("id", "vector").mapInArrow(_pack(block), PACKED), "candidates")
+    q = tables.write(codes.mapInArrow(_pack(block, kind), PACKED), "queries")
+    c = tables.write(own.select("id", "vector").mapInArrow(_pack(block, kind), PACKED), "candidates")
     rows, columns = (df.count() // n + 1 for df, n in ((q, QUERY_BLOCKS), (c, STRIP)))
     q = q.withColumn("row", F.pmod(F.xxhash64("block"), F.lit(rows))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     c = c.withColumn("column", F.pmod(F.xxhash64("block"), F.lit(columns))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))

@@ -144,6 +144,9 @@ def test_nearest(spark):
     for block in (7, 1024):
         got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in knn.nearest(vectors, F.col("vec_id") % 20 == 0, k=5, block=block).collect())
         assert got == plain_nearest(exact, 5)
+    wide = spark.createDataFrame([(i, None if v is None else [None if x is None else x / 3 for x in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    thirds = [(i, None if v is None else [None if x is None else x / 3 for x in v]) for i, v in rows]
+    assert Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in knn.nearest(wide, F.col("vec_id") % 20 == 0, k=5).collect()) == plain_nearest(thirds, 5)
     assert knn.nearest(vectors.limit(0), F.lit(True)).collect() == []
     assert len(knn.nearest(vectors.where("vec_id < 3"), F.col("vec_id") == 0, k=20).collect()) == 2
 
