@@ -55,8 +55,8 @@ DROPPED_WORDS = set(
 )
 #: Words of names that say where or how, not what: a name is dropped if all its other words are of DROPPED_WORDS.
 NEUTRAL_WORDS = set(
-    "area bar block body bottom box button buttons card center column container content fixed form global group holder inline inner item items layer left link links list main message mobile module outer page panel post posts primary right row secondary section site slot sticky "
-    "tertiary thread toggle tools top unit user view wrap wrapper zone".split()
+    "all area article articles bar block blog body bottom box button buttons card center column container content count entries entry fixed form global group guest heading holder inline inner item items latest layer left link links list main message mobile module more nested new outer page "
+    "panel popular post posts primary reader readers recent right row secondary section site slot sticky stories story tertiary text thread threads title toggle tools top tree unit user users view visitor visitors wrap wrapper zone".split()
 )
 #: In an article these name its own parts as well.
 OUTSIDE_ONLY = set("header masthead".split())

@@ -251,7 +251,7 @@ def test_parts_of_the_article_stay():
     page = (
         "<body><div class=site-header>Name</div><article class='post has-comments'><header class=entry-header><h1>T</h1></header><p>Long paragraph</p><figure><img src=x><figcaption>A caption</figcaption></figure>"
         "<p><a href=/x>Whole paragraph linked</a></p><div class='entry-header'><p>kept</p></div><p class='notice-of-motion'>Legal text</p><p class=discussion-paper>A paper</p><ul><li><a href=/r>Reference one</a></li></ul>"
-        "<noscript>plain</noscript> <math><mi>x</mi><mo>=</mo></math><p>custom <x-y class=z>tag</x-y></p><div class='related-posts'>no</div><p class=notice>no</p><div id=td-comments-wrapper>no</div><div class='cookieBanner'>no</div>"
+        "<noscript>plain</noscript> <math><mi>x</mi><mo>=</mo></math><p>custom <x-y class=z>tag</x-y></p><div class='related-posts'>no</div><p class=notice>no</p><div id=td-comments-wrapper>no</div><ol class='reader-comments'><li>no</ol><div class=article__comment-list>no</div><div class='cookieBanner'>no</div>"
         "<div class=ad>no</div><svg><title>no</title></svg><footer>no</footer><form>no</form></article><div id=comments><article class=comment>no</article></div>"
     )
     lines = ["T", "Long paragraph", "A caption", "Whole paragraph linked", "kept", "Legal text", "A paper", "Reference one", "plain x=", "custom tag"]
