@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import maps, templates
 from tessera.functions import strings as S
-from tessera.functions import templates
-from tessera.operators import boolean_tests, filters, packing, posts, programs, samples, sampling, stats
+from tessera.operators import boolean_tests, experiments, filters, packing, posts, programs, samples, sampling, stats
 from tessera.plans.texts import CONTEXT, TESTS, context_pool, order_tests
 from tessera.registry import Catalogue, Task, metrics, prompts, run_task, tasks, transforms
 from tessera.session import table
@@ -333,3 +333,49 @@ def jsonl_round_trip(spark, sf_dir):
     files.write_by(table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("doc_id", "lang", "n_chars"), path, "lang")
     both = files.read_jsonl(spark, path, "doc_id bigint, n_chars bigint, lang string")
     return both.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(
+    "kept_answers",
+    f"""WITH {ANSWERS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS place FROM a) SELECT qid, place::int AS place, body FROM r WHERE place <= 2 AND body <> ''""",
+)
+def kept_answers(spark, sf_dir):
+    """The two best answers of each question, if they have a body."""
+    a = answered(spark, sf_dir).select(F.col("id").alias("question_id"), F.explode("answers").alias("a")).select("question_id", "a.body", "a.score", F.col("a.line").alias("pos"))
+    return posts.keep_first(posts.rank_answers(a), 2).select(F.col("question_id").alias("qid"), F.col("rank").alias("place"), "body")
+
+
+@query("resolved_links", "SELECT p_partkey, 'https://h.example/' || CASE p_size % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'a/' || p_partkey ELSE 'a/b?' || p_partkey END AS url FROM part")
+def resolved_links(spark, sf_dir):
+    """Links resolved against the page that holds them."""
+    key = F.col("p_partkey").cast("string")
+    link = F.element_at(F.array(F.lit("/x"), key, F.concat(F.lit("?"), key)), (F.col("p_size") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.joined_url("https://h.example/a/b")(link).alias("url"))
+
+
+@query("public_props", "SELECT event_id, 'k=' || (props->>'$.k') || ',size=' || length(event_type) AS props FROM events")
+def public_props(spark, sf_dir):
+    """A record with one value set, without its private keys."""
+    m = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("_hidden"), F.lit("1")))
+    m = maps.public_keys(maps.with_value(m, "size", F.length("event_type").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("props"))
+
+
+@query("stashed_columns", "SELECT p_partkey, upper(p_name) AS p_name, p_brand, p_size FROM part WHERE p_size > 30 OR p_type = 'PROMO'")
+def stashed_columns(spark, sf_dir):
+    """Columns put aside while others change, and any of two conditions."""
+    p = filters.where_any(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type"), F.col("p_size") > 30, F.col("p_type") == "PROMO")
+    rest, aside = filters.stash(p.drop("p_type"), "p_partkey", ["p_brand", "p_size"])
+    return rest.withColumn("p_name", F.upper("p_name")).join(aside, "p_partkey")
+
+
+@query(
+    "name_problems",
+    """SELECT 'p' || n_nationkey AS name, 'repeated' AS problem FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'p' || n_nationkey, 'unknown' FROM nation WHERE n_nationkey < 20 AND n_nationkey % 2 = 1
+       UNION ALL SELECT 'p' || n_nationkey, 'missing' FROM nation WHERE n_nationkey >= 20 AND n_nationkey % 2 = 0 AND n_nationkey % 5 <> 0""",
+)
+def name_problems(spark, sf_dir):
+    """Names of runs that repeat, are missing, or were not asked for."""
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").alias("k"))
+    names = n.where("k < 20").select("name").union(n.where("k % 5 = 0").select("name")).union(n.where("k >= 20 and k % 5 = 0").select("name"))
+    return experiments.missing_and_repeated(names, n.where("k % 2 = 0 or (k >= 20 and k % 5 = 0)").select("name"))
