@@ -7,6 +7,7 @@ every executor can reach, so a lost executor costs only the tasks it ran.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -90,10 +91,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     _written.discard(path)
 
 
+def give_back() -> None:
+    """Return what a worker no longer uses to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the ``text`` column of each has about ``most`` bytes.
 
-    A row is never cut: a longer text comes alone.
+    A row is never cut: a longer text comes alone. Unused memory is given back at the end.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -106,6 +114,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def list_slices(batches: Iterator[pa.RecordBatch], *lists: str, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
