@@ -26,7 +26,7 @@ from tessera.llm.common import as_id, list_array, slices
 
 SPACE = "▁"
 LONG = 400
-KEPT_PARTS = 800_000
+KEPT_PARTS = 300_000
 PER_KEY = 4
 
 
