@@ -109,6 +109,8 @@ def unwanted(names: list[str], inside: bool = False) -> bool:
         if len(words) > 1 and len(words[0]) < 4 and words[0] not in DROPPED_WORDS and words[0] not in ("has", "no"):
             words = words[1:]
         said = [w for w in words if w not in NEUTRAL_WORDS]
+        if words[:2] == ["content", "sidebar"]:
+            continue  # what holds the text and the sidebar beside it
         if said and all(w in DROPPED_WORDS and not (inside and w in OUTSIDE_ONLY) for w in said):
             return True
     return False

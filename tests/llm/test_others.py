@@ -257,6 +257,7 @@ def test_parts_of_the_article_stay():
     lines = ["T", "Long paragraph", "A caption", "Whole paragraph linked", "kept", "Legal text", "A paper", "Reference one", "plain x=", "custom tag"]
     assert html.Page(page).text([]) == "\n".join(lines)
     assert html.Page(f"<body><form id=all>{page[6:]}</form>").text([]) == "\n".join(lines)
+    assert html.Page("<div class=content-sidebar-wrap><div class=content><p>text</p></div><div class=sidebar>no</div></div>").text([]) == "text"
 
 
 def test_paths_take_all_classes():
